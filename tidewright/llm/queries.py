@@ -124,7 +124,7 @@ ORACLE_SQL = {
         hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) AS least FROM windows) WHERE doc_id > least),
         gone AS (SELECT doc_id, list_sort(list(DISTINCT i + d)) AS spots FROM hit, (SELECT unnest(range(0, 13)) AS d) GROUP BY doc_id),
         rest AS (SELECT s.doc_id, s.words, coalesce(g.spots, []) AS spots FROM split s LEFT JOIN gone g USING (doc_id)),
-        kept AS (SELECT r.doc_id, string_agg(r.words[i], ' ' ORDER BY i) AS t FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM rest) r
+        kept AS (SELECT r.doc_id, string_agg(r.words[r.i], ' ' ORDER BY r.i) AS t FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM rest) r
                  LEFT JOIN (SELECT doc_id, unnest(spots) AS i FROM gone) g ON g.doc_id = r.doc_id AND g.i = r.i WHERE g.i IS NULL GROUP BY r.doc_id)
         SELECT r.doc_id, len(r.words)::BIGINT AS n_words, len(r.spots)::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM rest r LEFT JOIN kept k USING (doc_id)
     """,
