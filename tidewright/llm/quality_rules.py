@@ -130,4 +130,7 @@ def keep(df: DataFrame, policy: Policy = STANDARD, text: str = "text") -> DataFr
         p = f"_{p}"
     measured = _measured(df, text, p)
     bits = failure_bits(lambda name: F.col(f"`{p}{name}`"))
-    return measured.where(bits.bitwiseAND(F.lit(policy.mask)) == 0).select(*[F.col(f"`{name}`") for name in df.columns])
+    # A filter would be pushed below the measures and copy them into itself many times over; it stays above a
+    # projection that isn't deterministic.
+    judged = measured.withColumn(f"{p}bits", F.when(F.monotonically_increasing_id() >= 0, bits).otherwise(F.lit(0).cast("long")))
+    return judged.where(F.col(f"`{p}bits`").bitwiseAND(F.lit(policy.mask)) == 0).select(*[F.col(f"`{name}`") for name in df.columns])
