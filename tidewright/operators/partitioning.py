@@ -51,7 +51,7 @@ def murmur3_32(values: list[bytes | None]) -> np.ndarray:
     return out.view(np.int32)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(S.IntegerType())
 def _murmur_bytes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield pd.Series(murmur3_32([None if v is None else bytes(v) for v in s]))
