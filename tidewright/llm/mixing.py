@@ -51,29 +51,44 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -
     return out
 
 
-def fit(lengths: Sequence[int], counts: Sequence[int], budget: int, window: int = 1 << 15, items: int = 4096) -> list[int]:
-    """How many documents of each length to take so that their words come as near to ``budget`` as found, and
-    not above.  ``window``: largest budget that dynamic programming is asked for; ``items``: most lengths it
-    weighs up then.  Both bound its memory; what is beyond them is filled greedily by length."""
+def fit(lengths: Sequence[int], counts: Sequence[int], budget: int, again: int = 1, window: int = 1 << 15, items: int = 4096) -> list[int]:
+    """How often documents of each length are taken so that their words come near to ``budget``.
+
+    First each document at most once.  Where that leaves over a thousandth of the budget, because long ones
+    don't fit, further times up to ``again``; and at last one document may overshoot if that is nearer.
+    ``window``: largest budget that dynamic programming is asked for; ``items``: most lengths it weighs up then.
+    Both bound its memory; what is beyond them is filled greedily by length."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
-    if budget >= total:
+    if budget >= total and again == 1:
         return list(counts)
-    taken = [c * budget // total for c in counts]
+    taken = [min(c, c * budget // total) if total else 0 for c in counts]
+    left = _fill(lengths, counts, taken, budget, window, items)
+    if left * 1000 > budget and again > 1:
+        left = _fill(lengths, [c * again for c in counts], taken, budget, window, items)
+    if left * 1000 > budget:
+        over = [(n, i) for i, n in enumerate(lengths) if left < n < 2 * left and taken[i] < counts[i] * again]
+        if over:
+            taken[min(over)[1]] += 1
+    return taken
+
+
+def _fill(lengths: Sequence[int], most: Sequence[int], taken: list[int], budget: int, window: int, items: int) -> int:
+    """Raises ``taken`` towards the budget, up to ``most`` of each length; what is left of it."""
     left = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     for i in order:  # the longest first, until what is left is small
         if left <= window:
             break
-        more = min(counts[i] - taken[i], max(0, left - window // 2) // lengths[i]) if lengths[i] else 0
+        more = min(most[i] - taken[i], max(0, left - window // 2) // lengths[i]) if lengths[i] else 0
         taken[i] += more
         left -= more * lengths[i]
-    free = [(lengths[i], counts[i] - taken[i], i) for i in reversed(order) if 0 < lengths[i] <= left and counts[i] > taken[i]]
+    free = [(lengths[i], most[i] - taken[i], i) for i in reversed(order) if 0 < lengths[i] <= left and most[i] > taken[i]]
     if left > window or not free:
         for n, c, i in reversed(free):
             more = min(c, left // n)
             taken[i] += more
             left -= more * n
-        return taken
+        return left
     # Bit s of a state is set if the sum s can be reached; counts are split into powers of two.
     step = max(1, -(-len(free) // items))
     states, parts, mask = [1], [], (1 << (left + 1)) - 1
@@ -85,11 +100,12 @@ def fit(lengths: Sequence[int], counts: Sequence[int], budget: int, window: int
             parts.append((part, n, i))
             c, power = c - part, power * 2
     at = states[-1].bit_length() - 1
+    left -= at
     for (part, n, i), before in zip(reversed(parts), reversed(states[:-1]), strict=True):
         if not before >> at & 1:
             taken[i] += part
             at -= part * n
-    return taken
+    return left
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (1, 2, 3), most: int = 3, seed: int = 20) -> DataFrame:
@@ -116,10 +132,11 @@ def plan(rows: DataFrame, weights: Sequence[float], most: int) -> DataFrame:
         lengths = lengths.sort_values("size", ignore_index=True)
         times = min(most, int(target // words)) if words else 1
         budget = 0 if times >= most or not words else round(target - times * words)
-        more = fit(lengths["size"].tolist(), lengths["n"].tolist(), budget) if budget else np.zeros(len(lengths), "int64")
-        return pd.DataFrame({"source": lengths["source"], "size": lengths["size"], "times": times, "more": np.asarray(more, "int64"), "source_size": words, "target": float(target)})
+        n = lengths["n"].to_numpy("int64")
+        more = np.asarray(fit(lengths["size"].tolist(), n.tolist(), budget, most - times) if budget else [0] * len(n), "int64")
+        return pd.DataFrame({"source": lengths["source"], "size": lengths["size"], "times": times + more // n, "more": more % n, "source_size": words, "target": float(target)})
 
-    planned = by_size.groupBy("source").applyInPandas(of_source, "source string, size long, times int, more long, source_size long, target double")
+    planned = by_size.groupBy("source").applyInPandas(of_source, "source string, size long, times long, more long, source_size long, target double")
     # Buckets are filled one after the other; in the last that is reached, the smallest hashes are taken.
     a, b = by_bucket.alias("a"), planned.alias("b")
     each = a.join(b, F.expr("a.source <=> b.source AND a.size = b.size")).select("a.source", "a.size", "a.bucket", "a.n", "b.times", "b.more", "b.source_size", "b.target")

@@ -130,21 +130,20 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", owner:
     )
 
 
-def redact(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id", mark: str = "[REDACTED]") -> DataFrame:
-    """The rows of ``df`` with live-looking values replaced by ``mark``, and the column ``__n_redacted``.
+def redact(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id", mark: str = "[REDACTED]", count: str = "__n_redacted") -> DataFrame:
+    """The rows of ``df`` with live-looking values replaced by ``mark``, and the column ``count``: how many.
 
     A base span of an assignment keeps its name; overlapping spans are replaced as one."""
     scanned = settle(scan(df, key, text, owner, repository))
     live = judged(scanned).where("live").select("key", "text_hash", "start", "stop").distinct()
     spans = live.groupBy("key", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    names = df.columns
-    tagged = df.withColumns({"__key": F.col(f"`{key}`"), "__hash": F.xxhash64(F.col(f"`{text}`"))})
-    both = tagged.join(spans.select(F.col("key").alias("__k"), F.col("text_hash").alias("__h"), "spans"), F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__hash") == F.col("__h")), "left")
+    # The row travels as one struct, so that none of its names can clash with those used here.
+    tagged = df.select(F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("whole_row"), F.col(f"`{key}`").alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
+    both = tagged.join(spans, F.col("k").eqNullSafe(F.col("key")) & (F.col("h") == F.col("text_hash")), "left")
     # Spans in order; each keeps what stands between it and the end of the one before.
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"), F.lit(0).alias("n"))
-    whole = F.col(f"`{text}`")
+    whole = F.col("whole_row").getField(text)
     step = lambda a, x: F.when(x["stop"] <= a["at"], a).otherwise(F.struct(F.concat(a["done"], F.when(x["start"] >= a["at"], F.concat(F.substring(whole, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))).alias("done"), x["stop"].alias("at"), (a["n"] + F.when(x["start"] >= a["at"], 1).otherwise(0)).alias("n")))
     done = F.aggregate("spans", start, step, lambda a: F.struct(F.concat(a["done"], F.substring(whole, (a["at"] + 1).cast("int"), F.lit(2**31 - 1))).alias("text"), a["n"].alias("n")))
-    both = both.withColumn("__done", F.when(F.col("spans").isNotNull(), done))
-    changed = {text: F.coalesce(F.col("__done.text"), whole), "__n_redacted": F.coalesce(F.col("__done.n"), F.lit(0))}
-    return both.select(*[changed[n].alias(n) if n == text else F.col(f"`{n}`") for n in names], changed["__n_redacted"].alias("__n_redacted"))
+    both = both.withColumn("done", F.when(F.col("spans").isNotNull(), done))
+    return both.select(*[F.coalesce(F.col("done.text"), whole).alias(n) if n == text else F.col("whole_row").getField(n).alias(n) for n in df.columns], F.coalesce(F.col("done.n"), F.lit(0)).alias(count))
