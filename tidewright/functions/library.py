@@ -135,8 +135,9 @@ def java_regex_fault(pattern: str) -> str | None:
 def _pattern(arg: Arg, what: str) -> tuple[str, bool]:
     if arg.literal is None:
         raise TypeError(f"{what} needs a literal pattern")
-    good = java_regex_fault(arg.literal) is None
-    return (arg.literal if good else "x"), good
+    pattern = arg.literal.replace("(?P<", "(?<")
+    good = java_regex_fault(pattern) is None
+    return (pattern if good else "x"), good
 
 
 def _matches(a: Arg, pattern: Arg):
@@ -171,9 +172,9 @@ def _regex_replace(a: Arg, pattern: Arg, new: Arg):
     if new.literal is None:
         raise TypeError("regexReplace needs a literal replacement")
     groups = re.compile(r"\$(?:\{(\w+)\}|(\w+))")
-    known = set(re.findall(r"\(\?P?<(\w+)>", p)) | {str(i) for i in range(p.count("(") - p.count("\\(") - p.count("(?:") + 1)}
+    known = set(re.findall(r"\(\?<(\w+)>", p)) | {str(i) for i in range(p.count("(") - p.count("\\(") - p.count("(?:") + 1)}
     template = groups.sub(lambda m: m[0] if (m[1] or m[2]) in known else "", new.literal)  # unknown groups are empty
-    return F.regexp_replace(a.col, p.replace("(?P<", "(?<"), java_replacement(template)), {} if good else {"invalid pattern": F.lit(True)}
+    return F.regexp_replace(a.col, p, java_replacement(template)), {} if good else {"invalid pattern": F.lit(True)}
 
 
 register("regexReplace", (S, S, S), S, _regex_replace)

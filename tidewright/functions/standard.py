@@ -25,10 +25,15 @@ def _wide(op):
     return build
 
 
+def _unsigned(value: Column):
+    fits = value.between(F.lit(0), F.lit(str(2**64 - 1)).cast("decimal(20,0)"))
+    return F.when(fits, value.try_cast("decimal(20,0)")), {"integer overflow": ~fits}
+
+
 for _sign, _op in {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b}.items():
     register(_sign, (I, I), I, _wide(_op))
     register(_sign, (D, D), D, lambda a, b, op=_op: op(a.col, b.col))
-    register(_sign, (U, U), U, lambda a, b, op=_op: (F.when(op(a.col, b.col).between(0, 2**64 - 1), op(a.col, b.col).try_cast("decimal(20,0)")), {"integer overflow": ~op(a.col, b.col).between(0, 2**64 - 1)}))
+    register(_sign, (U, U), U, lambda a, b, op=_op: _unsigned(op(a.col, b.col)))
 
 
 def _safe(b: Column) -> Column:

@@ -29,14 +29,19 @@ class CheckFault(ValueError):
 
 @dataclass(frozen=True)
 class Value:
-    """``nullable``: the column may be null without being an error.  ``literal``: of literals.
-    ``fallible``: there may be an error that doesn't make the column null."""
+    """``nullable``: the column may be null without being an error.  ``literal``: of literals.  ``plain``: of
+    conditions, a column that is true where the value is, and false or null elsewhere; scans can use more of these."""
 
     col: Column
     type: T.Type
     err: Column | None = None
     nullable: bool = True
     literal: Any = None
+    plain: Column | None = None
+
+    @property
+    def test(self) -> Column:
+        return self.col if self.plain is None else self.plain
 
     def guarded(self) -> Value:
         return self if self.err is None else Value(F.when(self.err.isNull(), self.col), self.type, self.err, True)
@@ -162,7 +167,8 @@ class Checker:
         # Null stands for an error here, and SQL's logic of three values absorbs it as wanted.
         col = a.guarded().col & b.guarded().col if sign == "&&" else a.guarded().col | b.guarded().col
         either = first_error(ea, eb)
-        return Value(col, T.BOOL, None if either is None else F.when(col.isNull(), either), either is not None)
+        plain = a.test & b.test if sign == "&&" else a.test | b.test
+        return Value(col, T.BOOL, None if either is None else F.when(col.isNull(), either), either is not None, plain=plain)
 
     def choice(self, test: Value, then: Value, other: Value) -> Value:
         self._condition(test, "?:")
@@ -189,6 +195,8 @@ class Checker:
             # Against a literal a plain comparison can be pushed to a scan; null is unequal.
             col = a.col == b.col
             same = F.coalesce(col, F.lit(False)) if a.nullable or b.nullable else col
+            if sign == "==" and a.err is None and b.err is None and x.kind != "double":
+                return Value(same, T.BOOL, None, False, plain=col)
         else:
             same = a.col.eqNullSafe(b.col)
         if x.kind == "double" and y.kind == "double":

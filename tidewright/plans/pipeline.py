@@ -117,7 +117,7 @@ class Pipeline:
     def ok_rows(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         """Rows that pass, projected. ``keep``: input columns to carry along."""
         for v in (*self.validations, *([self.condition] if self.condition else [])):
-            df = df.where(v.col)
+            df = df.where(v.test)
         errors = [o.err for o in self.outputs if o.err is not None]
         for e in errors:
             df = df.where(e.isNull())
