@@ -298,3 +298,33 @@ def test_stream(spark, tmp_path):
         assert data.count() == expected and sum(s["ok"] for s in seen) == expected
         df.limit(5).write.mode("append").parquet(f"{tmp_path}/in")
     assert stream.segments(spark, f"{tmp_path}/table").agg(F.sum("total")).first()[0] == 45
+
+
+def entries(spark, low, high, term=1):
+    return spark.createDataFrame([(i, term, "command", dt.datetime(2024, 1, 1), str(i).encode()) for i in range(low, high + 1)], "index long, term long, type string, appended_at timestamp, data binary")
+
+
+def test_log_store(spark, tmp_path):
+    from tidewright.sources import log_store as ls
+
+    t = ls.LogTable(spark, f"{tmp_path}/log")
+    assert tuple(ls.first_last(t.read()).first()) == (0, 0)
+    t.append(entries(spark, 1, 5), 1)
+    t.append(entries(spark, 6, 9), 2)
+    t.append(entries(spark, 6, 9), 2)  # a retry
+    with pytest.raises(ls.LogGap):
+        t.append(entries(spark, 11, 12), 3)
+    with pytest.raises(ls.LogGap):
+        t.append(entries(spark, 10, 10).unionByName(entries(spark, 12, 12)), 3)
+    t.append(entries(spark, 8, 8, term=2), 3)  # replaces the end
+    log = t.read()
+    assert [(r["index"], r.term) for r in log.orderBy("index").collect()] == [*((i, 1) for i in range(1, 8)), (8, 2)]
+    assert tuple(ls.first_last(log).first()) == (1, 8) and ls.get(log, 8).first().term == 2 and ls.get(log, 99).count() == 0
+    assert ls.truncate_to(log, 3).count() == 3 and ls.truncate_to(log, 0).count() == 0 and ls.delete_range(log, 1, 4).count() == 4 and ls.delete_range(log, 5, 8).count() == 4
+    with pytest.raises(ValueError, match="middle"):
+        ls.delete_range(log, 3, 5)
+    assert [tuple(r) for r in ls.gaps(log.where("index NOT IN (3, 4, 6)")).orderBy("last_index").collect()] == [(2, 5), (5, 7)] and ls.gaps(log).count() == 0
+    t.backup_after(5, f"{tmp_path}/copy")
+    assert spark.read.parquet(f"{tmp_path}/copy").count() == 3
+    ls.snapshot(ls.first_last(log), f"{tmp_path}/snap")
+    assert ls.restore(spark, f"{tmp_path}/snap").first().last_index == 8

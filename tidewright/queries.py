@@ -9,7 +9,7 @@ from pyspark.sql import types as S
 from .operators import lifecycle, partitioning
 from .plans.config import from_dict
 from .plans.pipeline import Pipeline, compile_pipeline, counters, scope_of_frame
-from .sources import avro, sink
+from .sources import avro, log_store, sink
 from .sources.decode import json_event
 from .sources.schemas import map_json
 
@@ -306,3 +306,58 @@ def batch_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     framed = F.unhex(F.concat(F.repeat(one, ((F.col("event_id") * 2) % 5).cast("int")), F.lit("FF")))
     frames = avro.split_frames(framed, F.lit(0))
     return _table(spark, sf_dir, "events").select("event_id", F.size(frames).cast("long").alias("n_frames"))
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as log entries, with gaps."""
+    return _table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 97 != 5).select(F.col("o_orderkey").alias("index"), F.col("o_custkey").alias("term"))
+
+
+@query("""
+    WITH e AS (SELECT o_orderkey AS i FROM orders WHERE o_orderkey % 97 <> 5)
+    SELECT i AS last_index, n AS next_index FROM (SELECT i, lead(i) OVER (ORDER BY i) AS n FROM e) WHERE n > i + 1
+""")
+def log_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_store.gaps(_entries(spark, sf_dir))
+
+
+@query("SELECT min(o_orderkey) AS first_index, max(o_orderkey) AS last_index FROM orders WHERE o_orderkey % 97 <> 5 AND o_orderkey <= 700")
+def log_truncated_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_store.first_last(log_store.truncate_to(_entries(spark, sf_dir), 700))
+
+
+@query("SELECT o_orderkey AS index, CASE WHEN o_orderkey < 500 THEN 0 ELSE 1 END AS term FROM orders WHERE o_orderkey < 900")
+def log_overlapping_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch from 500 on replaces the end of a log that reaches further."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("index"))
+    held, batch = o.where("index < 1000").withColumn("term", F.lit(0)), o.where("index BETWEEN 500 AND 899").withColumn("term", F.lit(1))
+    return log_store.merged(held, batch)
+
+
+def _bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as they arrive: an envelope, and the payload as JSON text."""
+    body = F.to_json(F.struct("user_id", "event_type", "value", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at")))
+    broken = F.when(F.col("event_id") % 50 == 7, F.lit("{")).when(F.col("event_id") % 50 == 8, F.lit('{"user_id": "x"}')).otherwise(body)
+    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("_lsn"), broken.cast("binary").alias("payload"))
+
+
+@query("""
+    SELECT event_id AS _lsn, CASE WHEN event_id % 50 IN (7, 8) THEN 'undecoded' WHEN NOT value >= 5.0 THEN 'rejected' WHEN event_type = 'view' THEN 'filtered' ELSE 'ok' END AS outcome,
+           CASE WHEN event_id % 50 NOT IN (7, 8) AND value >= 5.0 AND event_type <> 'view' THEN 'u' || user_id || ':' || upper(event_type) || ':' || strftime(ts, '%Y-%m-%d') END AS label
+    FROM events
+""")
+def decode_and_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads by a registered JSON Schema with an embedded pipeline, decoded, checked and classified."""
+    import json
+
+    from .sources.decode import decode
+    from .sources.registry import prepare
+
+    schema = {
+        "type": "object", "title": "Click", "properties": {"user_id": {"type": "integer"}, "event_type": {"type": "string"}, "value": {"type": "number"}, "at": {"type": "string", "format": "date-time"}}, "required": ["user_id", "event_type", "value", "at"],
+        "x-pipeline": {"validate": ["event.value >= 5.0"], "filter": 'event.event_type != "view"', "columns": [{"name": "label", "expr": '"u" + string(event.user_id) + ":" + upper(event.event_type) + ":" + date(event.at)', "field_id": 1}]},
+    }
+    registered = prepare(1, None, json.dumps(schema))
+    decoded = decode(_bronze(spark, sf_dir), registered)
+    out = registered.pipeline.classify(decoded, keep=("_lsn", "_decode_error"))
+    return out.select("_lsn", F.when(F.col("_decode_error").isNotNull(), "undecoded").otherwise(F.col("_status")).alias("outcome"), "label")
