@@ -228,7 +228,7 @@ def test_log(spark, tmp_path):
     ingest.append(events, f"{tmp_path}/log", 2)  # a retry
     assert ingest.append(events.limit(0), f"{tmp_path}/log", 3)["count"] == 0
     rows = ingest.log(spark, f"{tmp_path}/log")
-    assert rows.count() == 4 and ingest.record_at(rows, 2).count() == 2 and ingest.truncated(rows, 1).count() == 2 and ingest.truncated(rows, 0).count() == 0 and ingest.without_range(rows, 1, 1).count() == 2
+    assert rows.count() == 4 and ingest.record_at(rows, 2).count() == 2 and ingest.truncated(rows, 1).count() == 2 and ingest.truncated(rows, 0).count() == 0 and ingest.scan_from(rows, 2).count() == 2 and ingest.scan_from(rows, 1, True).count() == 2 and ingest.without_range(rows, 1, 1).count() == 2
     assert rows.where("_occurred_at > '2024-01-01'").count() == 2
     with pytest.raises(ingest.BatchTooLarge):
         ingest.append(events, f"{tmp_path}/log", 4, limit=1)
@@ -240,6 +240,7 @@ def test_frames(spark):
     df = spark.createDataFrame([(1, f(b"a") + f(b"bc") + f(b"")), (2, b"\x05\0"), (3, f(b"abc")[:-1]), (4, None)], "i int, raw binary")
     assert [(r.i, r._ordinal, bytes(r._frame)) for r in avro.explode_frames(df, "raw").orderBy("i", "_ordinal").collect()] == [(1, 0, b"a"), (1, 1, b"bc"), (1, 2, b"")]
     assert avro.explode_frames(df, "raw", 2).count() == 2
+    assert bytes(spark.range(1).select(avro.join_frames(F.array(F.lit(bytearray(b"a")), F.lit(bytearray(b"bc")), F.lit(bytearray())))).first()[0]) == f(b"a") + f(b"bc") + f(b"")
 
 
 SEGMENT = "segment_id long, state int, last_index long, sealed_term long"
@@ -328,3 +329,13 @@ def test_log_store(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/copy").count() == 3
     ls.snapshot(ls.first_last(log), f"{tmp_path}/snap")
     assert ls.restore(spark, f"{tmp_path}/snap").first().last_index == 8
+
+
+def test_append_stream(spark, tmp_path):
+    events = spark.createDataFrame([(b"1", "k", 5, b"p", 1)], "event_id binary, event_type string, occurred_at long, payload binary, schema_id long")
+    events.write.parquet(f"{tmp_path}/in")
+    for n in (1, 2):
+        source = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+        assert stream.append_stream(source, f"{tmp_path}/log", f"{tmp_path}/cp").awaitTermination(120)
+        assert sorted(r._lsn for r in ingest.log(spark, f"{tmp_path}/log").collect()) == list(range(1, n + 1))
+        events.write.mode("append").parquet(f"{tmp_path}/in")

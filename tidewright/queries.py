@@ -361,3 +361,29 @@ def decode_and_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = decode(_bronze(spark, sf_dir), registered)
     out = registered.pipeline.classify(decoded, keep=("_lsn", "_decode_error"))
     return out.select("_lsn", F.when(F.col("_decode_error").isNotNull(), "undecoded").otherwise(F.col("_status")).alias("outcome"), "label")
+
+
+@query("SELECT event_id, upper(event_type) AS kind, strftime(ts, '%Y-%m-%d') AS dt, value * 100.0 AS amount FROM events WHERE value >= 0.0 AND event_type <> 'view'")
+def stream_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship pipeline as a stream over the same file, read back from its partitioned table."""
+    from .sources.shared import shared_folder
+    from .streaming import stream
+
+    df = _table(spark, sf_dir, "events")
+    p = pipeline_over(df, _EVENT_COLUMNS, ["event.value >= 0.0"], 'event.event_type != "view"', [{"source_id": 3, "field_id": 1000, "transform": "truncate", "param": 7, "name": "month"}], _BY_ID)
+    folder = shared_folder(spark, "stream")
+    source = spark.readStream.schema(df.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as the table is one file
+    stream.run(source, p, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/table/data").select(*p.column_names)
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1")
+def sink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by month, sorted, and read back by partition."""
+    from .sources.shared import shared_folder
+
+    df = _table(spark, sf_dir, "orders")
+    p = pipeline_over(df, {"o_orderkey": "event.o_orderkey", "o_orderdate": "event.o_orderdate"}, partitions=[{"source_id": 2, "field_id": 1000, "transform": "month", "name": "month"}], sort=[{"source_id": 1}])
+    folder = shared_folder(spark, "sink")
+    sink.write(p.ok_rows(df), p, folder)
+    return spark.read.schema("o_orderkey long, o_orderdate timestamp, month string").parquet(folder).groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))

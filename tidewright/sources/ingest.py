@@ -54,6 +54,10 @@ def record_at(rows: DataFrame, lsn: int) -> DataFrame:
     return rows.where(F.col("_lsn") == lsn)
 
 
+def scan_from(rows: DataFrame, lsn: int, strictly_after: bool = False) -> DataFrame:
+    return rows.where(F.col("_lsn") > lsn if strictly_after else F.col("_lsn") >= lsn)
+
+
 def truncated(rows: DataFrame, lsn: int) -> DataFrame:
     """The log up to a number; 0 means the empty log."""
     return rows.where(F.col("_lsn") <= lsn) if lsn else rows.limit(0)

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.pipeline import OK, Pipeline, counters
 from ..sources import sink
-from ..sources.ingest import LOG
+from ..sources.ingest import LOG, append
 from ..sources.registry import Registered
 
 
@@ -56,6 +56,11 @@ def run(rows: DataFrame, pipeline: Pipeline, table: str, checkpoint: str, schema
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def append_stream(events: DataFrame, folder: str, checkpoint: str, first_lsn: int = 1) -> StreamingQuery:
+    """Each micro-batch of events is one append, whose number follows from the batch's."""
+    return events.writeStream.foreachBatch(lambda df, n: append(df, folder, first_lsn + n, limit=None)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def segments(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{table}/segments")
 
