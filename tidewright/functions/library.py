@@ -33,23 +33,31 @@ LAYOUT = (
 
 def java_pattern(layout: str) -> str:
     """A reference-time layout (2006-01-02 15:04:05) as a Java date pattern."""
-    out, at = [], 0
+    out, text, at = [], "", 0
+
+    def end_text() -> str:
+        """Letters that stand for themselves, quoted together."""
+        nonlocal text
+        quoted, text = f"'{text}'" if text else "", ""
+        return quoted
+
     while at < len(layout):
-        if m := re.match(r"[.,]([09]+)(?!\d)", layout[at:]):
-            digits = "S" * len(m[1])
-            out.append(layout[at] + digits if m[1][0] == "0" else f"[{layout[at]}{digits}]")
-            at += m.end()
-            continue
-        for element, letters in LAYOUT:
-            if layout.startswith(element, at):
-                out.append(letters)
-                at += len(element)
-                break
+        fraction = re.match(r"[.,](?:(0+)|(9+))(?!\d)", layout[at:])
+        element = next(((e, letters) for e, letters in LAYOUT if layout.startswith(e, at)), None)
+        if fraction:  # nines may be missing
+            digits = "S" * (fraction.end() - 1)
+            out += [end_text(), layout[at] + digits if fraction[1] else f"[{layout[at]}{digits}]"]
+            at += fraction.end()
+        elif element:
+            out += [end_text(), element[1]]
+            at += len(element[0])
         else:
-            c = layout[at]
-            out.append(f"'{c}'" if c.isalpha() else "''" if c == "'" else c)
+            if layout[at].isalpha():
+                text += layout[at]
+            else:
+                out += [end_text(), "''" if layout[at] == "'" else layout[at]]
             at += 1
-    return "".join(out).replace("''''", "'").replace("''", "") if "'" not in layout else "".join(out)
+    return "".join([*out, end_text()])
 
 
 def _parse_timestamp(text: Arg, layout: Arg):

@@ -73,11 +73,11 @@ def _prefix(segments: DataFrame) -> DataFrame:
     The run ends at the smallest id that is not uploaded or whose predecessor is missing.  Predecessors are found
     by a join on id, so no window needs all segments in one task."""
     ids = segments.select((F.col("segment_id") + 1).alias("next_id"))
-    first = segments.agg(F.min("segment_id").alias("first_id"))
-    known = segments.join(ids, segments["segment_id"] == ids["next_id"], "left").crossJoin(F.broadcast(first))  # one row
-    broken = (F.col("state") != UPLOADED) | (F.col("next_id").isNull() & (F.col("segment_id") != F.col("first_id")))
-    end = known.where(broken).agg(F.min("segment_id").alias("end_id"))
-    return segments.crossJoin(F.broadcast(end)).where(F.col("end_id").isNull() | (F.col("segment_id") < F.col("end_id"))).drop("end_id")
+    first = segments.agg(F.min("segment_id")).scalar()
+    known = segments.join(ids, segments["segment_id"] == ids["next_id"], "left")
+    broken = (F.col("state") != UPLOADED) | (F.col("next_id").isNull() & (F.col("segment_id") != first))
+    end = known.where(broken).agg(F.min("segment_id")).scalar()
+    return segments.where(F.coalesce(F.col("segment_id") < end, F.lit(True)))
 
 
 def safe_gc(segments: DataFrame) -> DataFrame:
@@ -89,8 +89,8 @@ def safe_gc(segments: DataFrame) -> DataFrame:
 def cleanup(segments: DataFrame, safe_index: int) -> DataFrame:
     """What is left when the leading uploaded segments up to the safe index are deleted: from the first segment
     on that is not uploaded or ends beyond it."""
-    stays = segments.where((F.col("state") != UPLOADED) | (F.col("last_index") > safe_index)).agg(F.min("segment_id").alias("from_id"))
-    return segments.crossJoin(F.broadcast(stays)).where(F.col("segment_id") >= F.col("from_id")).drop("from_id")
+    stays = segments.where((F.col("state") != UPLOADED) | (F.col("last_index") > safe_index)).agg(F.min("segment_id")).scalar()
+    return segments.where(F.col("segment_id") >= stays)
 
 
 def advance(held: Column, new: Column) -> Column:
