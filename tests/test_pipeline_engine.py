@@ -339,3 +339,44 @@ def test_append_stream(spark, tmp_path):
         assert stream.append_stream(source, f"{tmp_path}/log", f"{tmp_path}/cp").awaitTermination(120)
         assert sorted(r._lsn for r in ingest.log(spark, f"{tmp_path}/log").collect()) == list(range(1, n + 1))
         events.write.mode("append").parquet(f"{tmp_path}/in")
+
+
+def segment_file(payloads, first_index=7):
+    from tidewright.sources import segments as sg
+
+    head = bytearray(sg.HEADER_SIZE)
+    struct.pack_into(sg.HEADER, head, 0, 1, 10, 20, 64, len(payloads), 2, first_index)
+    struct.pack_into("<I", head, sg.HEADER_SUM_AT, int(sg.crc32c([bytes(head[:56])])[0]))
+    out = bytes(head)
+    for p in payloads:
+        body = struct.pack("<I", len(p)) + p
+        out += struct.pack("<I", int(sg.crc32c([body])[0])) + body + sg.TRAILER
+        out += b"\0" * (-len(out) % 8)
+    return out + b"\0" * 64
+
+
+def log_entry(index, data, term=3):
+    return struct.pack("<QQBq", term, index, 0, 99) + bytes([len(data)]) + data + b"\0"
+
+
+def test_segment_files(spark, tmp_path):
+    from tidewright.sources import segments as sg
+
+    assert sg.crc32c([b"123456789", b""]).tolist() == [0xE3069283, 0]
+    whole = segment_file([log_entry(7, b"a"), log_entry(8, b""), b"?"])
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s/000000001.wal").write_bytes(whole)
+    (tmp_path / "s/000000002.wal").write_bytes(segment_file([log_entry(8, b"again", 4)], 8))
+    rows = sg.read_segments(spark, f"{tmp_path}/s")
+    assert sorted((r["index"] or 0, r.slot, r.first_index, bytes(r.data or b"")) for r in rows.collect()) == [(0, 2, 7, b""), (7, 0, 7, b"a"), (8, 0, 8, b"again"), (8, 1, 7, b"")]
+    assert sorted((r["index"], r.term, bytes(r.data)) for r in sg.newest(rows).collect()) == [(7, 3, b"a"), (8, 4, b"again")]
+    # A flipped bit anywhere ends the log before the record that it is in; a cut one before the cut.
+    starts = [at for at, _ in sg.records(whole)] + [len(whole)]
+    for at in range(sg.HEADER_SIZE, len(whole) - 64):
+        bad = bytearray(whole)
+        bad[at] ^= 1
+        hit = sum(s <= at for s in starts) - 1
+        end = starts[hit] + 8 + struct.unpack_from("<I", whole, starts[hit] + 4)[0] + 8
+        assert len(sg.records(bytes(bad))) == (hit if at < end else 3)
+    assert [len(sg.records(whole[:n])) for n in (64, starts[1], starts[2] + 5)] == [0, 1, 2]
+    assert sg.header(whole[:63]) is None and sg.header(bytes([whole[0] ^ 1]) + whole[1:]) is None and sg.header(whole).entries == 3
