@@ -109,6 +109,11 @@ def judged(scanned: DataFrame, most_owners: int = 2, most_repositories: int = 5,
     return single.join(counts, ["hash", "salt"]).withColumn("live", live).drop("salt")
 
 
+def _of_kind(k: int):
+    """A test with one argument only: a second one would be given the position."""
+    return lambda x: x["kind"] == k
+
+
 def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """One row for each input row: counts and spans of the base kinds and of live-looking further ones, and
     how many candidates look live or are widely copied."""
@@ -122,7 +127,7 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", owner:
     count = lambda test: F.size(F.filter(found, test)).cast("long")
     return some.unionByName(none).select(
         F.col("key").alias(key),
-        *[count(lambda x, k=k: x["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(BASE)],
+        *[count(_of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(BASE)],
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
         joined(kept).alias("spans"),
         count(lambda x: x["live"]).alias("n_live"),
