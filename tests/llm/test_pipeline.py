@@ -64,6 +64,15 @@ def test_stages_with_clashing_names_and_no_rows(spark, corpus):
         assert stage(spark, none, "").collect() == []
 
 
+def test_unrelated_texts_of_one_id_stay(spark):
+    r, vocab = random.Random(22), vocabulary(5, 1500)
+    texts = [prose(r, 100, vocab) for _ in range(8)]
+    rows = [(None, t, "en", "a", 0) for t in texts[:4]] + [(7, t, "en", "a", 0) for t in texts[4:]]
+    rows += [(None, texts[5], "en", "a", 0), (9, texts[0], "en", "a", 0), rows[1], rows[6]]  # copies
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCUMENTS), "").collect()
+    assert sorted(((x.doc_id, x.text) for x in kept), key=repr) == sorted([(9, texts[0]), *((None, t) for t in texts[1:4]), *((7, t) for t in texts[4:])], key=repr)
+
+
 def test_run(spark, corpus, tmp_path):
     corpus.write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))

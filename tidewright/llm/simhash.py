@@ -245,7 +245,8 @@ def share_of_bits(similarity: float) -> float:
 
 
 def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 1.6, recall: float = 0.96, crowding: int = 32, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each input row: key, text_hash and component_id, linking texts whose wide fingerprints differ
+    """One row for each input row: key, text_hash, component_id and component (one name for each component, also
+    where keys are null or shared by unrelated texts), linking texts whose wide fingerprints differ
     in as few bits as those of texts of at least this similarity do.
 
     ``slack``: standard deviations above the expected share of bits that still link.  Shards are samples of a
@@ -285,6 +286,6 @@ def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: flo
     dealt = classes.select("id", "print").mapInArrow(deal, "shard long, id long, words array<long>")
     roots = components(forests(dealt, radius))
     placed = classes.join(roots, F.col("id") == F.col("node"), "left").select("print", "least", F.coalesce("root", "id").alias("root"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = settle(placed.join(ids, "root").select("print", "component_id"))
-    return printed.join(named, "print").select(F.col("key").alias(key), "text_hash", "component_id")
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.hex(F.min("print")).alias("component"))
+    named = settle(placed.join(ids, "root").select("print", "component_id", "component"))
+    return printed.join(named, "print").select(F.col("key").alias(key), "text_hash", "component_id", "component")
