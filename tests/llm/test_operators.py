@@ -192,6 +192,23 @@ def test_similar_links_near_copies_and_leaves_others(spark):
     assert all(found[100 + i] == i for i in range(20))
 
 
+def tails(r, vocab, base, changed):
+    """``base`` with other words at its end: of n shingles each, n - changed are shared."""
+    return " ".join([*base.split()[: len(base.split()) - changed], *r.choices(vocab, k=changed)])
+
+
+@pytest.mark.parametrize("others", [0, 3000])
+def test_similar_finds_pairs_just_above_the_threshold_at_any_size(spark, others):
+    r, vocab = random.Random(9), vocabulary(3, 5000)
+    rows = []
+    for i in range(150):
+        base = " ".join(r.choices(vocab, k=204))  # 200 shingles
+        rows += [(2 * i, base), (2 * i + 1, tails(r, vocab, base, 22))]  # 178 / 222 = 0.802
+    rows += [(1000 + i, " ".join(r.choices(vocab, k=40))) for i in range(others)]
+    found = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i if i >= 300 else i - i % 2 for i, _ in rows}
+
+
 def test_mixing(documents):
     out = mixing.mix(documents).collect()
     sizes = Counter()

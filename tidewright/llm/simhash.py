@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import repeat
 
 import numpy as np
@@ -217,75 +218,121 @@ def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 3, key: str =
     return found.select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Similar texts, beyond a few bits: wide fingerprints.
-
-#: Odd numbers that turn one hash of a shingle into the further words of a wide fingerprint.
-_SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
-WIDE = 64 * len(_SPREAD)
-
-
-def wide_majority(values: list[int]) -> bytes:
-    """As ``majority``, for ``WIDE`` bits, which are derived from each 64-bit hash."""
-    if not values:
-        return bytes(WIDE // 8)
-    one = np.array(values, np.uint64)
-    counts = np.zeros(WIDE, np.int64)
-    for a in range(0, len(one), 2048):
-        words = one[a : a + 2048, None] * np.array(_SPREAD, np.uint64)
-        words ^= words >> np.uint64(32)
-        words *= np.uint64(0xD6E8FEB86659FD93)
-        words ^= words >> np.uint64(29)
-        counts += np.unpackbits(np.ascontiguousarray(words.astype("<u8")).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(values), bitorder="little").tobytes()
-
+# Similar texts, beyond a few bits: sets of shingles, met by their smallest hashes and compared exactly.
+
+#: Orders in a band; all must have the same smallest hash for two texts to meet in it.
+ROWS = 6
+
+
+def bands_for(similarity: float, miss: float) -> int:
+    """So many bands that a pair just at the similarity meets in none with a probability of ``miss`` at most."""
+    return math.ceil(math.log(miss) / math.log1p(-(similarity**ROWS)))
+
+
+def band_keys(values: np.ndarray, bands: int) -> np.ndarray:
+    """A signed number for each band, of the smallest of the distinct hashes in each of its orders."""
+    if not len(values):
+        return np.zeros(0, np.int64)
+    factors = np.random.default_rng(7).integers(0, 1 << 63, bands * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(bands * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for a in range(0, len(values), 64):
+        np.minimum(least, (values[a : a + 64, None] * factors).min(axis=0), out=least)
+    keys = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for row in least.reshape(ROWS, bands):
+        keys = (keys ^ row) * np.uint64(0xD6E8FEB86659FD93)
+        keys ^= keys >> np.uint64(32)
+    return keys.view(np.int64)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, share: Fraction, salts: int = 16) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have a Jaccard index of at least ``share``.  The set of a ``b`` with
+    very many pairs is repeated ``salts`` times, so that they are not gathered in one task."""
+    dealt = pairs.select("a", "b", F.pmod(F.hash("a"), F.lit(salts)).alias("salt"))
+    ends = dealt.select("b", "salt").distinct().join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
+    both = dealt.join(ends, ["b", "salt"]).join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
+    common, p, q = F.size(F.array_intersect("of_a", "of_b")), share.numerator, share.denominator
+    return both.where(common * F.lit(p + q) >= (F.size("of_a") + F.size("of_b")) * F.lit(p)).select("a", "b")
+
+
+def verified(members: DataFrame, sets: DataFrame, share: Fraction, most_rounds: int = 6, few: int = 16) -> DataFrame:
+    """``members``: band, id, size and the band's number of members n, two or more.  Verified links a, b that connect all ids that meet in a band and are alike.
+
+    In a round, each band's members are compared with one of them.  A pair is left out only if links that hold
+    connect it already, so that a rejected pair costs no other.  When the pairs that remain are few for each
+    member, or after ``most_rounds``, all of them are compared."""
+    # The middle of a group meets the others in more bands than they meet each other, and goes first.
+    met = members.groupBy("id").agg(F.sum("n").alias("met"))
+    members = settle(members.join(met, "id").drop("n"))
+    links = tested = members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    p, q = share.numerator, share.denominator
+    for turn in range(most_rounds + 1):
+        roots = components(links)
+        placed = members.join(roots, F.col("id") == F.col("node"), "left").select("band", "id", "size", "met", F.coalesce("root", "id").alias("root"))
+        apart = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+        left = settle(placed.join(apart, "band"))
+        n = left.count()
+        if not n:
+            break
+        by_root = left.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+        last = turn == most_rounds or by_root.agg(F.sum("pairs")).first()[0] <= few * n
+        if last:
+            other = left.select("band", *[F.col(x).alias(f"{x}_b") for x in ("id", "size", "root")])
+            pairs = left.join(other, "band").where("root <> root_b and id > id_b")
+        else:
+            order = F.struct(-F.col("met") if turn == 0 else F.xxhash64("id", F.lit(turn)), "id", "size", "root")
+            middle = left.groupBy("band").agg(F.min(order).alias("m"))
+            pairs = left.join(middle, "band").select("id", "size", "root", *[F.col(f"m.{x}").alias(f"{x}_b") for x in ("id", "size", "root")]).where("root <> root_b")
+        near = pairs.where(F.least("size", "size_b") * F.lit(q) >= F.greatest("size", "size_b") * F.lit(p))
+        # The middle stays ``b``, which is salted.
+        new = settle(near.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        links = settle(links.unionByName(_alike(new, sets, share)))
+        if last:
+            break
+        tested = tested.unionByName(new).unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return links
+
+
+def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8, miss: float = 1e-6, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each input row: key, text_hash, component_id and component (one name for each component, also
+    where keys are null or shared by unrelated texts), linking texts whose sets of shingles have at least this
+    Jaccard index.
 
-def share_of_bits(similarity: float) -> float:
-    """The share of bits that is expected to differ for two sets of shingles with this Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+    Texts with the same set are one class.  Classes meet in bands (the same smallest hashes in ``ROWS`` orders);
+    the number of bands comes from the similarity alone, so a pair is found with a probability of 1 - ``miss`` or
+    more whatever the size of the table.  Pairs that meet are compared by their sets before they are linked."""
+    kind = df.schema[key].dataType.simpleString()
+    bands = bands_for(similarity, miss)
+    c = lambda name: F.col(f"`{name}`")
 
+    def sets_of(column: pa.Array) -> list[np.ndarray]:
+        return [np.unique(np.array(hashes(t, shingle), np.uint64)) for t in column.to_pylist()]
 
-def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 1.6, recall: float = 0.96, crowding: int = 32, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each input row: key, text_hash, component_id and component (one name for each component, also
-    where keys are null or shared by unrelated texts), linking texts whose wide fingerprints differ
-    in as few bits as those of texts of at least this similarity do.
+    def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+        offsets = np.cumsum([0, *map(len, arrays)])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
 
-    ``slack``: standard deviations above the expected share of bits that still link.  Shards are samples of a
-    fingerprint's bits; a sample has more bits the more fingerprints there are, so that about ``crowding`` of
-    unrelated ones meet in a shard, and there are so many samples that a pair just at the similarity meets in
-    one with probability ``recall``.  Both grow slowly: work as the power 1.24 of the distinct texts."""
-    kind = df.schema[key].dataType.simpleString()
-    differ = share_of_bits(similarity)
-    radius = int(WIDE * differ + slack * math.sqrt(WIDE * differ * (1 - differ)))
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(a, 1024) for a in range(0, whole.num_rows, 1024)):
+                sets = sets_of(batch.column(2))
+                prints = [xxhash.xxh128_digest(s.astype("<u8").tobytes()) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(list(map(len, sets)), pa.int64()), lists([band_keys(s, bands) for s in sets])], names=["key", "text_hash", "print", "size", "bands"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [wide_majority(hashes(t, shingle)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["key", "text_hash", "print"])
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(a, 1024) for a in range(0, whole.num_rows, 1024)):
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists([s.view(np.int64) for s in sets_of(batch.column(1))])], names=["id", "shingles"])
 
-    c = lambda name: F.col(f"`{name}`")
     slim = df.select(c(key).alias("key"), F.xxhash64(c(text)).alias("text_hash"), c(text).cast("binary").alias("text"))
-    printed = settle(slim.mapInArrow(run, f"key {kind}, text_hash long, print binary"))
-    classes = settle(printed.groupBy("print").agg(F.min("key").alias("least")).withColumn("id", F.monotonically_increasing_id()))
-    bits = max(8, (max(1, classes.count()) // crowding).bit_length())
-    samples = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** bits))
-    chosen = np.stack([np.random.default_rng([7, i]).permutation(WIDE)[:bits] for i in range(samples)])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                n = part.num_rows
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, WIDE // 8)
-                plain = np.unpackbits(raw, axis=1, bitorder="little")
-                shard = np.stack([plain[:, x].astype(np.int64) @ weights + (i << 44) for i, x in enumerate(chosen)], axis=1)
-                words = np.repeat(raw.view("<i8"), samples, axis=0)
-                offsets = pa.array(np.arange(n * samples + 1, dtype=np.int32) * words.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(shard.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), samples)), pa.ListArray.from_arrays(offsets, pa.array(words.reshape(-1)))], names=["shard", "id", "words"])
-
-    dealt = classes.select("id", "print").mapInArrow(deal, "shard long, id long, words array<long>")
-    roots = components(forests(dealt, radius))
+    printed = settle(slim.mapInArrow(met, f"key {kind}, text_hash long, print binary, size long, bands array<long>"))
+    classes = settle(printed.groupBy("print").agg(F.min("key").alias("least"), F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
+    members = classes.select("id", "size", F.explode("bands").alias("band"))
+    met_ids = settle(members.join(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"))
+    needed = met_ids.select("id").distinct().join(classes.select("id", "text_hash"), "id")
+    texts = slim.select("text_hash", "text").join(needed, "text_hash").groupBy("id").agg(F.first("text").alias("text"))
+    sets = settle(texts.mapInArrow(shingles, "id long, shingles array<long>"))
+    roots = components(verified(met_ids, sets, Fraction(str(similarity))))
     placed = classes.join(roots, F.col("id") == F.col("node"), "left").select("print", "least", F.coalesce("root", "id").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.hex(F.min("print")).alias("component"))
     named = settle(placed.join(ids, "root").select("print", "component_id", "component"))
-    return printed.join(named, "print").select(F.col("key").alias(key), "text_hash", "component_id", "component")
+    return printed.select("key", "text_hash", "print").join(named, "print").select(F.col("key").alias(key), "text_hash", "component_id", "component")
