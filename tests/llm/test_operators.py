@@ -209,6 +209,45 @@ def test_similar_finds_pairs_just_above_the_threshold_at_any_size(spark, others)
     assert found == {i: i if i >= 300 else i - i % 2 for i, _ in rows}
 
 
+def test_similar_leaves_pairs_just_below_the_threshold(spark):
+    r, vocab = random.Random(10), vocabulary(3, 5000)
+    rows = []
+    for i in range(150):
+        base = " ".join(r.choices(vocab, k=204))
+        rows += [(2 * i, base), (2 * i + 1, tails(r, vocab, base, 23 + i % 20))]  # 177 / 223 = 0.794 to 0.653
+    found = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(x.component_id == x.doc_id for x in found) and len({x.component for x in found}) == 300
+
+
+def test_similar_components_equal_brute_force(spark):
+    r, vocab = random.Random(11), vocabulary(3, 5000)
+    texts = []
+    for size in (12, 30, 90):  # hubs whose copies are alike to them but hardly to each other, chains, looser copies
+        for _ in range(4):
+            base = " ".join(r.choices(vocab, k=204))
+            texts += [base] * 2 + [" ".join(base.split()[:50] + r.choices(vocab, k=k) + base.split()[50 + k :]) for k in r.choices(range(4, 40), k=size)]
+            chain = base
+            for _ in range(6):
+                chain = tails(r, vocab, chain.split(" ", 15)[-1], 0) + " " + " ".join(r.choices(vocab, k=15))
+                texts.append(chain)
+    texts += ["a b", "A  B", "", None]
+    r.shuffle(texts)
+    sets = [set(simhash.hashes((t or "").encode(), 5)) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and top(i) != top(j):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    found = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {i: top(i) for i in range(len(texts))}
+
+
 def test_mixing(documents):
     out = mixing.mix(documents).collect()
     sizes = Counter()
