@@ -387,6 +387,17 @@ def test_winnowing_guarantee():
         assert set(x.tolist()) & set(y.tolist())
 
 
+def test_edits_of_short_texts_are_near(spark):
+    r, vocab = random.Random(12), vocabulary(6, 3000)
+    texts = [prose(r, 200, vocab)[:n] for n in (*range(30, 175), *range(180, 600, 20)) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    least = {}
+    for x in winnowing.compare_with_next(df).collect():
+        group = next(n for n in (600, 174, 87, 60, 30) if x.n_chars >= n or n == 30)
+        least[group] = min(least.get(group, 1), x.near_edited)
+    assert set(least) == {30, 60, 87, 174} and min(least.values()) > 0, least  # the least by length
+
+
 def test_next_document_and_edit(documents):
     docs = sorted(documents.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text or ""), reverse=True)
     texts = [r.text or "" for r in docs]
