@@ -380,3 +380,14 @@ def test_segment_files(spark, tmp_path):
         assert len(sg.records(bytes(bad))) == (hit if at < end else 3)
     assert [len(sg.records(whole[:n])) for n in (64, starts[1], starts[2] + 5)] == [0, 1, 2]
     assert sg.header(whole[:63]) is None and sg.header(bytes([whole[0] ^ 1]) + whole[1:]) is None and sg.header(whole).entries == 3
+
+
+def test_overlapping_append_holds_all_orders(spark, monkeypatch):
+    from tidewright import queries
+    from tidewright.sources import log_store as ls
+
+    held, merged = [], ls.merged
+    monkeypatch.setattr(ls, "merged", lambda h, b: held.append(h.count()) or merged(h, b))
+    out = queries.QUERIES["log_overlapping_append"](spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, out.collect())) == [(i, int(i >= 500)) for i in range(900)]
+    assert held == [spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()]

@@ -330,7 +330,7 @@ def log_truncated_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_overlapping_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch from 500 on replaces the end of a log that reaches further."""
     o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("index"))
-    held, batch = o.where("index < 1000").withColumn("term", F.lit(0)), o.where("index BETWEEN 500 AND 899").withColumn("term", F.lit(1))
+    held, batch = o.withColumn("term", F.lit(0)), o.where("index BETWEEN 500 AND 899").withColumn("term", F.lit(1))
     return log_store.merged(held, batch)
 
 
