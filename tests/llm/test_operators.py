@@ -323,6 +323,17 @@ def test_copied_examples_are_told_from_live_secrets(spark):
     assert clean[100].text == f"one [REDACTED] two {copied}" and clean[0].text == rows[0][1] and clean[101].text == "key [REDACTED] here"
 
 
+def test_a_secret_of_one_owner_is_live_in_any_number_of_documents(spark):
+    own, shared = "ghp_" + "aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1dE3fG5", "token=Qw92hTb6Vn"
+    rows = [(i, f"key {own} here", "src1") for i in range(20)] + [(100 + i, f"text {shared} more", f"src{i % 2}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in secret_scans.scan_secrets(docs).collect()}
+    assert all((r.n_live, r.n_copied) == ((1, 0) if i < 100 else (0, 1)) for i, r in found.items())
+    assert found[0].spans == f"hosting:4:{4 + len(own)}"
+    clean = {r.doc_id: r.text for r in secret_scans.redact(docs).collect()}
+    assert all(t == ("key [REDACTED] here" if i < 100 else f"text {shared} more") for i, t in clean.items())
+
+
 def test_substring_dedup(documents):
     docs = documents.collect()
     key = lambda d: float("inf") if d is None else d

@@ -101,11 +101,12 @@ def frequency(scanned: DataFrame) -> DataFrame:
 
 def judged(scanned: DataFrame, most_owners: int = 2, most_repositories: int = 5, salts: int = 32) -> DataFrame:
     """One row for each candidate: row, key, text_hash, its fields, repositories, owners, and whether it
-    looks live.  ``most_owners`` and ``most_repositories``: up to so many a value is specific to its owner."""
+    looks live.  ``most_owners`` and ``most_repositories``: up to so many a value is specific to its owners; a value
+    with one owner is in any number of repositories."""
     single = scanned.select("row", "key", "text_hash", F.explode("candidates").alias("c")).select("row", "key", "text_hash", "c.*")
     single = single.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
     counts = frequency(scanned).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    live = F.col("varied") & (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
+    live = F.col("varied") & (F.col("owners") <= most_owners) & ((F.col("owners") == 1) | (F.col("repositories") <= most_repositories))
     return single.join(counts, ["hash", "salt"]).withColumn("live", live).drop("salt")
 
 
