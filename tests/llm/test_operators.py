@@ -277,6 +277,14 @@ def test_targets_share_what_is_over():
         assert sum(t) == pytest.approx(sum(sizes)) and all(x <= 3 * s + 1e-6 for x, s in zip(t, sizes, strict=True))
 
 
+def test_budget_fitting_weighs_up_every_length():
+    lengths, spent = [2, 3, 4, 5], lambda taken: sum(n * t for n, t in zip([2, 3, 4, 5], taken, strict=True))
+    assert spent(mixing.fit(lengths, [1] * 4, 9, items=2)) == 9  # 2 and 4 first, then 3
+    many = list(range(1, 9000))
+    for budget in (7, 4999, 20_001):
+        assert sum(n * t for n, t in zip(many, mixing.fit(many, [1] * len(many), budget), strict=True)) == budget
+
+
 def test_budget_fitting_is_exact_where_brute_force_is():
     r = random.Random(6)
     for _ in range(150):

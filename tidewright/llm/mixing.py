@@ -56,8 +56,9 @@ def fit(lengths: Sequence[int], counts: Sequence[int], budget: int, again: int =
 
     First each document at most once.  Where that leaves over a thousandth of the budget, because long ones
     don't fit, further times up to ``again``; and at last one document may overshoot if that is nearer.
-    ``window``: largest budget that dynamic programming is asked for; ``items``: most lengths it weighs up then.
-    Both bound its memory; what is beyond them is filled greedily by length."""
+    ``window``: largest budget that dynamic programming is asked for; ``items``: most lengths it weighs up at a time.
+    Both bound its memory; what is beyond the window is filled greedily by length, and where there are more
+    lengths, each further lot of them is given what the one before has left."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= total and again == 1:
         return list(counts)
@@ -82,17 +83,25 @@ def _fill(lengths: Sequence[int], most: Sequence[int], taken: list[int], budget:
         more = min(most[i] - taken[i], max(0, left - window // 2) // lengths[i]) if lengths[i] else 0
         taken[i] += more
         left -= more * lengths[i]
+    for i in order:  # and no more than it takes where the lengths are near to the window
+        if left <= window:
+            break
+        more = min(most[i] - taken[i], left // lengths[i], -(-(left - window) // lengths[i])) if lengths[i] else 0
+        taken[i] += more
+        left -= more * lengths[i]
     free = [(lengths[i], most[i] - taken[i], i) for i in reversed(order) if 0 < lengths[i] <= left and most[i] > taken[i]]
-    if left > window or not free:
-        for n, c, i in reversed(free):
-            more = min(c, left // n)
-            taken[i] += more
-            left -= more * n
-        return left
-    # Bit s of a state is set if the sum s can be reached; counts are split into powers of two.
     step = max(1, -(-len(free) // items))
+    for k in range(step):  # every length is weighed up, as long as anything is left
+        if left:
+            left = _reach(free[k::step], taken, left)
+    return left
+
+
+def _reach(free: Sequence[tuple[int, int, int]], taken: list[int], left: int) -> int:
+    """Raises ``taken`` by the largest sum of (length, times, place) up to ``left``; what is left then."""
+    # Bit s of a state is set if the sum s can be reached; counts are split into powers of two.
     states, parts, mask = [1], [], (1 << (left + 1)) - 1
-    for n, c, i in free[::step]:
+    for n, c, i in free:
         c, power = min(c, left // n), 1
         while c > 0 and not states[-1] >> left & 1:
             part = min(power, c)
