@@ -81,6 +81,19 @@ def test_packing_round_trip(documents):
         assert padding == 0
 
 
+@pytest.mark.parametrize("limits, bound", [(packing.Limits(64, 1000, 1000), 0), (packing.Limits(1024, 2, 1024), 1), (packing.Limits(1024, 256, 50), 2)])
+def test_each_packing_limit_closes_sequences(documents, limits, bound):
+    def measures(used):
+        by_seq = defaultdict(lambda: [0, 0, 0])
+        for p in packing.pack(documents, BPE, used).collect():
+            by_seq[p.sequence_id] = [a + b for a, b in zip(by_seq[p.sequence_id], (p.length, 1, p.loss_tokens), strict=True)]
+        return by_seq.values()
+
+    found, full = measures(limits), (limits.tokens, limits.segments, limits.loss)
+    assert all(a <= b for x in found for a, b in zip(x, full, strict=True))
+    assert max(x[bound] for x in found) >= 0.9 * full[bound] and len(found) > len(measures(packing.Limits(1024, 1000, 1024)))
+
+
 def test_byte_tokens_equal_the_library():
     own, r = packing.ByteTokenizer(BPE), random.Random(2)
     parts = ["a", "b", " ", " ", "  ", "\n", "\t", "the", " the", "é", "漢", "'s", "<|endoftext|>", "1", "😀", "\x00", "\xa0", "\u3000", "ﬁ", "tion", "\r", "\u0301", ".", "!!", "\x85", "\u200b", "\x1c", "\u2028"]
