@@ -34,6 +34,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_one(many: DataFrame, one: DataFrame, key: str, hot: int = 512, least: int = 1024) -> DataFrame:
+    """``many`` (written already) joined with ``one``, which has a row for each of its keys.  The ``hot`` keys with most rows, if
+    more than ``least``, are broadcast, and their rows stay where they are.  The others, none with over 1 / ``hot`` of the rows, are shuffled."""
+    kind = many.schema[key].dataType.simpleString()
+    found = many.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).orderBy(F.desc("n"), "key").limit(hot).select("key").collect()
+    if not found:
+        return many.join(one, key)
+    keys = F.broadcast(many.sparkSession.createDataFrame(found, f"key {kind}").withColumnRenamed("key", key))
+    return many.join(F.broadcast(one.join(keys, key)), key).unionByName(many.join(keys, key, "left_anti").join(one, key))
+
+
 def words_column(text: Column) -> Column:
     """The words of a text as an array of strings; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -11,7 +11,8 @@ of a length are taken is decided by a seeded hash, so reruns agree.
 What is planned on is the count of documents by (source, length, hash bucket), summed before it is shuffled.
 A source is planned in one task from its distinct lengths, whose number is bounded by the longest text and
 not by the rows.  Documents meet their plan by (source, length, bucket), so that a source or a group of
-copies with a third of all rows is spread over the buckets.  The driver sees one row for each source.
+copies with a third of all rows is spread over the buckets.  Sources are a table too, however many there are: their
+numbers come from a sort by ranges, and the driver sees the sums of a round of the shares, and a count for each range.
 
 Defined results: a null text has size 0; a null source is a source of its own, after all others; documents
 without words are taken with 0 words; repeated rows are separate documents, and equal hashes are told apart
@@ -51,6 +52,42 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -
     return out
 
 
+def numbered(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds the place of each row in the order of ``column``, null last, from 0.  Ranges are sorted where they are; the driver
+    sees how many rows each has."""
+    ranged = settle(df.repartitionByRange(F.asc_nulls_last(column)).sortWithinPartitions(F.asc_nulls_last(column)).withColumn("id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    before, starts = 0, []
+    for r in ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        starts.append((r["part"], before))
+        before += r["n"]
+    first = df.sparkSession.createDataFrame(starts, "part long, first long")
+    return ranged.withColumn("part", part).join(F.broadcast(first), "part").withColumn(out, F.col("first") + place).drop("part", "first", "id")
+
+
+def shared(sources: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
+    """``sources``: source and words.  Adds ``target``, as ``targets`` does for a list.  Weights and sizes are whole numbers, so
+    that their sums don't depend on their order."""
+    if any(w != int(w) or w <= 0 for w in weights):
+        raise ValueError("weights must be whole numbers above 0")
+    weight = F.get(F.array(*[F.lit(int(w)).cast("long") for w in weights]), F.pmod("place", F.lit(len(weights))).cast("int"))
+    rows = settle(numbered(sources, "source", "place").select("source", "words", weight.alias("weight"), F.lit(False).alias("full")))
+    total = rows.agg(F.sum("words")).first()[0] or 0
+    while True:
+        # What is left for the sources that aren't full, and their weights: two numbers.
+        taken, heavy = rows.agg(F.sum(F.when(F.col("full"), F.col("words"))), F.sum(F.when(~F.col("full"), F.col("weight")))).first()
+        if not heavy:
+            break
+        left = total - most * (taken or 0)
+        over = ~F.col("full") & (F.lit(left).cast("decimal(38,0)") * F.col("weight") > F.col("words").cast("decimal(20,0)") * F.lit(most * heavy))
+        again = settle(rows.withColumn("full", F.col("full") | over))
+        if again.where("full").count() == rows.where("full").count():
+            break
+        rows = again
+    share = F.lit(float(left)) * F.col("weight") / F.lit(float(heavy)) if heavy else F.lit(0.0)
+    return rows.select("source", "words", F.when(F.col("full"), (F.col("words") * F.lit(most)).cast("double")).otherwise(share).alias("target"))
+
+
 def fit(lengths: Sequence[int], counts: Sequence[int], budget: int, again: int = 1, window: int = 1 << 15, items: int = 4096) -> list[int]:
     """How often documents of each length are taken so that their words come near to ``budget``.
 
@@ -117,12 +154,13 @@ def _reach(free: Sequence[tuple[int, int, int]], taken: list[int], left: int) ->
     return left
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (1, 2, 3), most: int = 3, seed: int = 20) -> DataFrame:
-    """One row for each input row: key, size, source_size, target and taken; also ``times``."""
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (1, 2, 3), most: int = 3, seed: int = 20, drawn_by: str | None = None) -> DataFrame:
+    """One row for each input row: key, size, source_size, target and taken; also ``times``.  The hash that decides which
+    documents of a length are taken is of the text and of ``drawn_by`` (the key, unless another column is named)."""
     c = lambda name: F.col(f"`{name}`")
-    slim = df.select(c(key).alias("key"), c(source).cast("string").alias("source"), F.size(words_column(c(text))).cast("long").alias("size"), F.xxhash64(c(text)).alias("text_hash"), F.monotonically_increasing_id().alias("row"))
-    luck = F.xxhash64(F.lit(seed), F.col("key"), F.col("text_hash"))
-    rows = settle(slim.withColumn("luck", luck).withColumn("bucket", F.pmod(F.col("luck"), F.lit(BUCKETS)).cast("int")))
+    slim = df.select(c(key).alias("key"), c(drawn_by or key).alias("drawn_by"), c(source).cast("string").alias("source"), F.size(words_column(c(text))).cast("long").alias("size"), F.xxhash64(c(text)).alias("text_hash"), F.monotonically_increasing_id().alias("row"))
+    luck = F.xxhash64(F.lit(seed), F.col("drawn_by"), F.col("text_hash"))
+    rows = settle(slim.withColumn("luck", luck).withColumn("bucket", F.pmod(F.col("luck"), F.lit(BUCKETS)).cast("int")).drop("drawn_by"))
     return plan(rows, weights, most).withColumnRenamed("key", key)
 
 
@@ -130,22 +168,20 @@ def plan(rows: DataFrame, weights: Sequence[float], most: int) -> DataFrame:
     """``rows``: row, key, text_hash, source, size, luck, bucket."""
     by_bucket = settle(rows.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")))
     by_size = by_bucket.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    # One row for each source.
-    sums = [(r["source"], r["words"]) for r in by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()]
-    sums.sort(key=lambda x: (x[0] is None, x[0] or ""))
-    shares = targets([w for _, w in sums], [weights[i % len(weights)] for i in range(len(sums))], most)
-    known = {s: (w, t) for (s, w), t in zip(sums, shares, strict=True)}
-
-    def of_source(key: tuple, lengths: pd.DataFrame) -> pd.DataFrame:
-        words, target = known[key[0] if isinstance(key[0], str) else None]
+    shares = shared(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")), weights, most)
+
+    def of_source(lengths: pd.DataFrame) -> pd.DataFrame:
+        words, target = int(lengths["words"].iloc[0]), float(lengths["target"].iloc[0])
         lengths = lengths.sort_values("size", ignore_index=True)
         times = min(most, int(target // words)) if words else 1
         budget = 0 if times >= most or not words else round(target - times * words)
         n = lengths["n"].to_numpy("int64")
         more = np.asarray(fit(lengths["size"].tolist(), n.tolist(), budget, most - times) if budget else [0] * len(n), "int64")
-        return pd.DataFrame({"source": lengths["source"], "size": lengths["size"], "times": times + more // n, "more": more % n, "source_size": words, "target": float(target)})
+        return pd.DataFrame({"source": lengths["source"], "size": lengths["size"], "times": times + more // n, "more": more % n, "source_size": words, "target": target})
 
-    planned = by_size.groupBy("source").applyInPandas(of_source, "source string, size long, times long, more long, source_size long, target double")
+    a, b = by_size.alias("a"), shares.alias("b")
+    known = a.join(b, F.expr("a.source <=> b.source")).select("a.source", "a.size", "a.n", "b.words", "b.target")
+    planned = known.groupBy("source").applyInPandas(of_source, "source string, size long, times long, more long, source_size long, target double")
     # Buckets are filled one after the other; in the last that is reached, the smallest hashes are taken.
     a, b = by_bucket.alias("a"), planned.alias("b")
     each = a.join(b, F.expr("a.source <=> b.source AND a.size = b.size")).select("a.source", "a.size", "a.bucket", "a.n", "b.times", "b.more", "b.source_size", "b.target")

@@ -8,7 +8,8 @@ values of one owner, or of very few, with a varied alphabet look like live crede
 The scan's result, without texts, is written to the checkpoint folder once and read for the counts and for
 the verdicts.  Counts are partial sums by (hash, owner, repository), then by (hash, owner), then by hash, so
 a value that a third of all rows holds is one row for each task before it is shuffled.  Verdicts come back by
-a join on (hash, salt).  Nothing is collected.
+a join on the hash; hashes with more than 1/512 of all candidates, fewer than 512, are broadcast, and their
+candidates are not shuffled.  Nothing is collected.
 
 Defined results: a null text counts as empty; a null owner or repository counts as one owner or repository
 named null; repeated rows keep their rows, and count once as a repository if its column says so; ties don't
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import join_one, settle
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -42,6 +43,8 @@ EXTRA = (
     ("signed", "eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     ("pem", "PRIVATE KEY-----", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----")),
 )
+#: Every text with a candidate has a match of this, which the JVM looks for before Python sees the text.
+POSSIBLE = r"""(?:[pP][aA][sS][sS][wW]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[a-zA-Z]*["']?\x20*[:=]|AKIA[A-Z0-9]|[0-9a-f]{24}|gh[pousr]_|xox[abprs]-|k_live_|AIza|eyJ|PRIVATE KEY-----"""
 KINDS = ("assign", "access", "hex", *(name for name, _, _ in EXTRA))
 BASE = 3
 
@@ -99,15 +102,13 @@ def frequency(scanned: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"))
 
 
-def judged(scanned: DataFrame, most_owners: int = 2, most_repositories: int = 5, salts: int = 32) -> DataFrame:
-    """One row for each candidate: row, key, text_hash, its fields, repositories, owners, and whether it
-    looks live.  ``most_owners`` and ``most_repositories``: up to so many a value is specific to its owners; a value
-    with one owner is in any number of repositories."""
+def judged(scanned: DataFrame, most_owners: int = 2, most_repositories: int = 5) -> DataFrame:
+    """One row for each candidate: row, key, text_hash, its fields, repositories, owners, and whether it is ``copied`` or looks
+    ``live``.  ``most_owners`` and ``most_repositories``: up to so many a value is specific to its owners; a value with one owner is
+    in any number of repositories.  A specific value whose characters vary little is neither copied nor live."""
     single = scanned.select("row", "key", "text_hash", F.explode("candidates").alias("c")).select("row", "key", "text_hash", "c.*")
-    single = single.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
-    counts = frequency(scanned).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    live = F.col("varied") & (F.col("owners") <= most_owners) & ((F.col("owners") == 1) | (F.col("repositories") <= most_repositories))
-    return single.join(counts, ["hash", "salt"]).withColumn("live", live).drop("salt")
+    copied = (F.col("owners") > most_owners) | ((F.col("owners") > 1) & (F.col("repositories") > most_repositories))
+    return join_one(single, frequency(scanned), "hash").withColumn("copied", copied).withColumn("live", F.col("varied") & ~copied)
 
 
 def _of_kind(k: int):
@@ -119,8 +120,8 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", owner:
     """One row for each input row: counts and spans of the base kinds and of live-looking further ones, and
     how many candidates look live or are widely copied."""
     scanned = settle(scan(df, key, text, owner, repository))
-    some = judged(scanned).groupBy("row", "key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "stop", "live"))).alias("found"))
-    none = scanned.where(F.size("candidates") == 0).select("row", "key", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint,live:boolean>>").alias("found"))
+    some = judged(scanned).groupBy("row", "key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "stop", "live", "copied"))).alias("found"))
+    none = scanned.where(F.size("candidates") == 0).select("row", "key", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint,live:boolean,copied:boolean>>").alias("found"))
     found, names = F.col("found"), F.array(*[F.lit(k) for k in KINDS])
     base = F.filter(found, lambda x: x["kind"] < BASE)
     kept = F.filter(found, lambda x: (x["kind"] < BASE) | x["live"])
@@ -132,20 +133,26 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", owner:
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
         joined(kept).alias("spans"),
         count(lambda x: x["live"]).alias("n_live"),
-        count(lambda x: ~x["live"]).alias("n_copied"),
+        count(lambda x: x["copied"]).alias("n_copied"),
     )
 
 
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id", mark: str = "[REDACTED]", count: str = "__n_redacted") -> DataFrame:
     """The rows of ``df`` with live-looking values replaced by ``mark``, and the column ``count``: how many.
 
-    A base span of an assignment keeps its name; overlapping spans are replaced as one."""
-    scanned = settle(scan(df, key, text, owner, repository))
+    A span of an assignment goes as a whole, with its name; overlapping spans are replaced as one.  Texts that can hold no
+    candidate pass by without a shuffle; only the others meet their spans."""
+    c = lambda name: F.col(f"`{name}`")
+    # The row travels as one struct, so that none of its names can clash with those used here.
+    whole_rows = df.select(F.struct(*[c(n) for n in df.columns]).alias("whole_row"), c(key).alias("k"), c(owner).alias("o"), c(repository).alias("r"), c(text).alias("t"))
+    possible = F.coalesce(F.col("t").rlike(POSSIBLE), F.lit(False))
+    asked = whole_rows.where(possible)
+    scanned = settle(scan(asked, "k", "t", "o", "r"))
     live = judged(scanned).where("live").select("key", "text_hash", "start", "stop").distinct()
     spans = live.groupBy("key", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    # The row travels as one struct, so that none of its names can clash with those used here.
-    tagged = df.select(F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("whole_row"), F.col(f"`{key}`").alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
+    tagged = asked.select("whole_row", "k", F.xxhash64("t").alias("h"))
     both = tagged.join(spans, F.col("k").eqNullSafe(F.col("key")) & (F.col("h") == F.col("text_hash")), "left")
+    both = both.select("whole_row", "spans").unionByName(whole_rows.where(~possible).select("whole_row", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans")))
     # Spans in order; each keeps what stands between it and the end of the one before.
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"), F.lit(0).alias("n"))
     whole = F.col("whole_row").getField(text)

@@ -8,8 +8,8 @@ equal in at least one of r + 1 blocks of their bits, so each fingerprint goes to
 fingerprints that share it.  A shard's tree stands in one task: children are keyed by their integer distance
 to the parent, and a search follows only edges within the radius of its own distance.  Trees are not sent
 through the driver, because all of them together hold every fingerprint; a broadcast would have no bound.
-Shards with more than ``crowd`` members are dealt again by the block and a second one of the bits that remain
-(again, one of r + 1 must be equal), which loses no pair.
+Shards with more than ``crowd`` members are dealt again by the blocks of the bits that remain (again, one of
+r + 1 must be equal) until they are bounded, which loses no pair.
 
 A shard gives a spanning forest of its links, at most one row for each member, never all pairs.  Forests are
 joined by star contraction (see graphs.py), whose rounds are written to the checkpoint folder.
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import join_one, settle
 from .graphs import components
 
 BITS = 64
@@ -118,49 +118,55 @@ def forest(ids: np.ndarray, members: np.ndarray, radius: int) -> list[tuple[int,
         return [(int(ids[1]), int(ids[0]))] if distances(members[1:], members[0])[0] <= radius else []
     root = np.arange(n)
     for _, near in Tree(members).search(members, radius):
-        met = np.unique(root[near])
-        if len(met) > 1:
-            root[np.isin(root, met)] = met[0]
+        top = tops(root, near)
+        least = top.min()
+        if (top != least).any():
+            root[top] = least
+    root = tops(root, np.arange(n))
     return [(int(ids[i]), int(ids[root[i]])) for i in np.flatnonzero(root != np.arange(n))]
 
 
-def blocks(total: int, parts: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of ``parts`` blocks that make up ``total`` bits, as even as can be."""
-    cuts = [total * i // parts for i in range(parts + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def tops(root: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The roots that ``at`` lead to; paths are shortened on the way."""
+    top = root[at]
+    while (top != (above := root[top])).any():
+        top = above
+    root[at] = top
+    return top
 
 
-def _block(column, first: int, bits: int):
-    return F.shiftrightunsigned(column, first).bitwiseAND(F.lit((1 << bits) - 1))
+def _shards(members: DataFrame, radius: int) -> DataFrame:
+    """``members``: shard, fingerprint, and the ``width`` bits ``rest`` that its shard says nothing about.  A row for each of the
+    radius + 1 blocks of those bits, as even as can be; one of them at least is equal in members within the radius."""
+    edge = lambda i: F.floor(F.col("width") * F.lit(i) / F.lit(radius + 1)).cast("int")
 
+    def low(bits):
+        return F.when(bits < BITS, F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).otherwise(F.lit(-1).cast("long"))
 
-def _shards(members: DataFrame, radius: int) -> DataFrame:
-    """A row (shard, fingerprint) for each of the radius + 1 blocks."""
-    own = [F.xxhash64(F.lit(i), _block(F.col("fingerprint"), first, bits)) for i, (first, bits) in enumerate(blocks(BITS, radius + 1))]
-    return members.select(F.posexplode(F.array(*own)).alias("block", "shard"), "fingerprint")
-
-
-def _again(crowded: DataFrame, radius: int) -> DataFrame:
-    """The same for shards that are too large, by a second block among the bits beside the first."""
-    first = blocks(BITS, radius + 1)
-    out = None
-    for i, (a, n) in enumerate(first):
-        # The other bits, moved together.
-        low = F.col("fingerprint").bitwiseAND(F.lit((1 << a) - 1)) if a else F.lit(0).cast("long")
-        rest = F.shiftleft(F.shiftrightunsigned("fingerprint", a + n), a).bitwiseOR(low) if a + n < BITS else low
-        own = [F.xxhash64(F.col("shard"), F.lit(j), _block(rest, b, m)) for j, (b, m) in enumerate(blocks(BITS - n, radius + 1))]
-        part = crowded.where(F.col("block") == i).select(F.explode(F.array(*own)).alias("shard"), "fingerprint")
-        out = part if out is None else out.unionByName(part)
-    return out
+    def block(i: int):
+        first, end = edge(i), edge(i + 1)
+        own = F.call_function("shiftrightunsigned", F.col("rest"), first).bitwiseAND(low(end - first))
+        above = F.when(end < BITS, F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.col("rest"), end), first)).otherwise(F.lit(0).cast("long"))
+        return F.struct(F.xxhash64("shard", F.lit(i), own).alias("shard"), above.bitwiseOR(F.col("rest").bitwiseAND(low(first))).alias("rest"), (F.col("width") - (end - first)).alias("width"))
 
+    return members.select("fingerprint", F.explode(F.array(*[block(i) for i in range(radius + 1)])).alias("s")).select("s.shard", "fingerprint", "s.rest", "s.width")
 
-def links(members: DataFrame, radius: int = 3, crowd: int = 1024) -> DataFrame:
-    """``members``: distinct fingerprints.  Links a, b that connect all that are within the radius of each other."""
-    sharded = _shards(members, radius)
-    crowded = sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("shard")
-    few, many = sharded.join(crowded, "shard", "left_anti"), sharded.join(crowded, "shard", "left_semi")
-    dealt = few.select("shard", "fingerprint").unionByName(_again(many, radius))
 
+def links(members: DataFrame, radius: int = 3, crowd: int = 1024) -> DataFrame:
+    """``members``: distinct fingerprints.  Links a, b that connect all that are within the radius of each other.
+
+    A shard with more than ``crowd`` members is dealt again by the bits that are left, as often as it takes; members of a
+    shard differ in those bits only, so that when few are left there are few members."""
+    todo = _shards(members.select(F.lit(0).cast("long").alias("shard"), "fingerprint", F.col("fingerprint").alias("rest"), F.lit(BITS).alias("width")), radius)
+    dealt = None
+    while True:
+        crowded = settle(todo.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("width").alias("width")).where((F.col("n") > crowd) & (F.col("width") > 3 * radius)).select("shard"))
+        full = not crowded.isEmpty()
+        few = (todo.join(crowded, "shard", "left_anti") if full else todo).select("shard", "fingerprint")
+        dealt = few if dealt is None else dealt.unionByName(few)
+        if not full:
+            break
+        todo = settle(_shards(todo.join(crowded, "shard", "left_semi"), radius))
     return forests(dealt.select("shard", F.col("fingerprint").alias("id"), F.array("fingerprint").alias("words")), radius)
 
 
@@ -206,10 +212,10 @@ def clusters(printed: DataFrame, radius: int = 3) -> DataFrame:
     """``printed``: key, text_hash and fingerprint.  Adds component_id, the smallest key that links reach."""
     classes = settle(printed.groupBy("fingerprint").agg(F.min("key").alias("least")))
     roots = components(links(classes.select("fingerprint"), radius))
-    placed = classes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    placed = settle(classes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = settle(placed.join(ids, "root").select("fingerprint", "component_id"))
-    return printed.join(named, "fingerprint")
+    named = settle(join_one(placed, ids, "root").select("fingerprint", "component_id"))
+    return join_one(printed, named, "fingerprint")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,7 +227,7 @@ def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 3, key: str =
 # Similar texts, beyond a few bits: sets of shingles, met by their smallest hashes and compared exactly.
 
 #: Orders in a band; all must have the same smallest hash for two texts to meet in it.
-ROWS = 6
+ROWS = 5
 
 
 def bands_for(similarity: float, miss: float) -> int:
@@ -244,52 +250,142 @@ def band_keys(values: np.ndarray, bands: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, share: Fraction, salts: int = 16) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have a Jaccard index of at least ``share``.  The set of a ``b`` with
-    very many pairs is repeated ``salts`` times, so that they are not gathered in one task."""
-    dealt = pairs.select("a", "b", F.pmod(F.hash("a"), F.lit(salts)).alias("salt"))
-    ends = dealt.select("b", "salt").distinct().join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
-    both = dealt.join(ends, ["b", "salt"]).join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
-    common, p, q = F.size(F.array_intersect("of_a", "of_b")), share.numerator, share.denominator
-    return both.where(common * F.lit(p + q) >= (F.size("of_a") + F.size("of_b")) * F.lit(p)).select("a", "b")
+#: Most members, and most shingles, of a block of a band that one task compares with others.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
+
+
+def alike(ids: np.ndarray, roots: np.ndarray, hubs: np.ndarray, sets: list[np.ndarray], share: Fraction) -> list[tuple[int, int]]:
+    """Links of members with different roots of which one at least is a hub and whose sets have a Jaccard index of ``share`` or
+    more.  Pairs that links connect already are left out."""
+    sizes, n = np.array([len(s) for s in sets]), len(ids)
+    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    _, first, top = np.unique(roots, return_index=True, return_inverse=True)
+    top, parent = first[top], np.arange(n)
+    mark, out = np.zeros(len(words), np.int64), []
+    _, same = np.unique(ids, return_inverse=True)
+    filled = np.minimum(cuts[:-1], max(0, len(flat) - 1))
+    for h in np.flatnonzero(hubs):
+        tip = tops(parent, top)
+        size = sizes[h]
+        able = (tip != tip[h]) & (same != same[h]) & (np.minimum(size, sizes) * share.denominator >= np.maximum(size, sizes) * share.numerator)
+        if not able.any():
+            continue
+        own = flat[cuts[h] : cuts[h + 1]]
+        mark[own] = 1
+        common = np.where(sizes > 0, np.add.reduceat(mark[flat], filled), 0) if len(flat) else np.zeros(n, np.int64)
+        mark[own] = 0
+        near = np.flatnonzero(able & (common * share.denominator >= (size + sizes - common) * share.numerator))
+        for i in near.tolist():
+            out.append((int(ids[i]), int(ids[h])))
+        if len(near):
+            joined = np.append(tip[near], tip[h])
+            parent[joined] = joined.min()
+    return out
+
+
+def compared(dealt: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
+    """``dealt``: task, id, root, and whether it is a hub; ``sets``: id and shingles.  In each task its hubs are compared with
+    all of its members; the verified links a, b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+        def done(parts: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+            ids, roots, hubs = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in (1, 2, 3))
+            return alike(ids, roots, hubs, [s for p in parts for s in _rows_of(p.column(4))], share)
+
+        task, parts, out = None, [], []
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if parts and keys[a] != task:
+                    out += done(parts)
+                    parts = []
+                task = keys[a]
+                parts.append(batch.slice(a, b - a))
+            if len(out) >= 10_000:
+                yield table(out)
+                out = []
+        if parts:
+            out += done(parts)
+        yield table(out)
+
+    rows = dealt.join(sets, "id").select("task", "id", "root", "hub", "shingles")
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
+
+
+def _rows_of(lists: pa.ListArray) -> list[np.ndarray]:
+    values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+
+
+def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (band, id, size, met, root) of the bands that hold more than one root."""
+    placed = members.join(components(links), F.col("id") == F.col("node"), "left").select("band", "id", "size", "met", F.coalesce("root", "id").alias("root"))
+    apart = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    return settle(placed.join(apart, "band", "left_semi"))
+
+
+def _largest(left: DataFrame) -> DataFrame:
+    """For each band: ``most``, the root with most members, and members and shingles of it and of the others."""
+    by_root = left.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    return by_root.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("few"), F.sum("words").alias("words"))
 
 
-def verified(members: DataFrame, sets: DataFrame, share: Fraction, most_rounds: int = 6, few: int = 16) -> DataFrame:
-    """``members``: band, id, size and the band's number of members n, two or more.  Verified links a, b that connect all ids that meet in a band and are alike.
+def verified(members: DataFrame, sets: DataFrame, bands: DataFrame, share: Fraction, crowd: int = 4096, few: int = 3, rounds: int = 4) -> DataFrame:
+    """``members``: band, id, size and the band's number of members n, two or more; ``bands``: id and the array of its bands.
+    Verified links a, b that connect all ids that meet in a band and are alike.
 
-    In a round, each band's members are compared with one of them.  A pair is left out only if links that hold
-    connect it already, so that a rejected pair costs no other.  When the pairs that remain are few for each
-    member, or after ``most_rounds``, all of them are compared."""
-    # The middle of a group meets the others in more bands than they meet each other, and goes first.
+    First each band's members are compared with one of them, the one that meets most others (the middle of a group):
+    a row for each member.  In the bands that still hold more than one part, the members outside the largest part are
+    compared with all, by blocks of members, in numbers that tasks have room for; there, only links become rows.  As
+    long as that would be more than ``few`` rows for a member, another round comes first, in which they are
+    compared with one of the largest part.  Bands with more than ``crowd`` members outside are dealt again by a second
+    band that must be equal too.  A pair is left out only if links that hold connect it already, so that a
+    rejected pair costs no other."""
     met = members.groupBy("id").agg(F.sum("n").alias("met"))
-    members = settle(members.join(met, "id").drop("n"))
-    links = tested = members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    p, q = share.numerator, share.denominator
-    for turn in range(most_rounds + 1):
-        roots = components(links)
-        placed = members.join(roots, F.col("id") == F.col("node"), "left").select("band", "id", "size", "met", F.coalesce("root", "id").alias("root"))
-        apart = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-        left = settle(placed.join(apart, "band"))
-        n = left.count()
+    members = settle(members.join(met, "id").select("band", "id", "size", "met"))
+    links, left = None, members.withColumn("root", F.col("id"))
+    for turn in range(rounds):
+        sizes = _largest(left)
+        order = F.struct(F.xxhash64("band", "id", F.lit(turn)) if turn else -F.col("met"), "id", "size", "root")
+        middle = left.join(sizes.select("band", "most"), "band").where("root = most") if turn else left
+        middle = middle.groupBy("band").agg(F.min(order).alias("m")).join(sizes, "band").select("band", "m", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("words") / BLOCK_SHINGLES)).alias("parts"))
+        pairs = left.join(middle, "band").where("root <> m.root").where(F.least("size", "m.size") * F.lit(share.denominator) >= F.greatest("size", "m.size") * F.lit(share.numerator))
+        pairs = pairs.groupBy("id", F.col("m.id").alias("hub_id")).agg(F.first("root").alias("root"), F.first("m.root").alias("hub_root"), F.max("parts").alias("parts"))
+        pairs = settle(pairs.withColumn("task", F.xxhash64("hub_id", "parts", F.pmod(F.xxhash64("id"), F.col("parts")))))
+        dealt = pairs.select("task", "id", "root", F.lit(False).alias("hub")).unionByName(pairs.select("task", F.col("hub_id").alias("id"), F.col("hub_root").alias("root"), F.lit(True).alias("hub")).distinct())
+        new = compared(dealt, sets, share)
+        links = settle(new if links is None else links.unionByName(new))
+        left = _apart(members, links)
+        n, rows = left.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("few")).agg(F.sum("n"), F.sum(F.col("few") * F.ceil(F.col("n") / BLOCK) + F.col("n") * F.ceil(F.col("few") / BLOCK))).first()
         if not n:
+            return links
+        if rows <= few * n:
             break
-        by_root = left.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-        last = turn == most_rounds or by_root.agg(F.sum("pairs")).first()[0] <= few * n
-        if last:
-            other = left.select("band", *[F.col(x).alias(f"{x}_b") for x in ("id", "size", "root")])
-            pairs = left.join(other, "band").where("root <> root_b and id > id_b")
-        else:
-            order = F.struct(-F.col("met") if turn == 0 else F.xxhash64("id", F.lit(turn)), "id", "size", "root")
-            middle = left.groupBy("band").agg(F.min(order).alias("m"))
-            pairs = left.join(middle, "band").select("id", "size", "root", *[F.col(f"m.{x}").alias(f"{x}_b") for x in ("id", "size", "root")]).where("root <> root_b")
-        near = pairs.where(F.least("size", "size_b") * F.lit(q) >= F.greatest("size", "size_b") * F.lit(p))
-        # The middle stays ``b``, which is salted.
-        new = settle(near.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        links = settle(links.unionByName(_alike(new, sets, share)))
-        if last:
+    for _ in range(2):
+        many = settle(_largest(left).where(F.col("few") > crowd).select("band"))
+        if many.isEmpty():
             break
-        tested = tested.unionByName(new).unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return links
+        again = left.join(many, "band", "left_semi").join(bands, "id").withColumn("second", F.explode("bands")).where("second <> band").withColumn("band", F.xxhash64("band", "second")).select(left.columns)
+        dealt = left.join(many, "band", "left_anti").unionByName(again)
+        apart = dealt.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+        left = settle(dealt.join(apart, "band", "left_semi"))
+    if left.isEmpty():
+        return links
+    blocks = _largest(left).withColumn("wide", F.greatest(F.lit(1.0), F.col("words") / F.col("n") * BLOCK / BLOCK_SHINGLES))
+    blocks = blocks.select("band", "most", *[F.ceil(F.col(n) * F.col("wide") / BLOCK).cast("int").alias(parts) for n, parts in (("n", "all_parts"), ("few", "few_parts"))])
+    placed = left.join(blocks, "band").withColumn("hub", F.col("root") != F.col("most"))
+    part = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    task = F.xxhash64("band", "x", "y").alias("task")
+    asked = placed.where("hub").select("band", "id", "root", "hub", part("few_parts").alias("x"), every("all_parts").alias("y"))
+    rest = placed.select("band", "id", "root", F.lit(False).alias("hub"), every("few_parts").alias("x"), part("all_parts").alias("y"))
+    dealt = asked.unionByName(rest).select(task, "id", "root", "hub")
+    return settle(links.unionByName(compared(dealt, sets, share)))
 
 
 def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8, miss: float = 1e-6, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -331,8 +427,8 @@ def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8, miss: floa
     needed = met_ids.select("id").distinct().join(classes.select("id", "text_hash"), "id")
     texts = slim.select("text_hash", "text").join(needed, "text_hash").groupBy("id").agg(F.first("text").alias("text"))
     sets = settle(texts.mapInArrow(shingles, "id long, shingles array<long>"))
-    roots = components(verified(met_ids, sets, Fraction(str(similarity))))
-    placed = classes.join(roots, F.col("id") == F.col("node"), "left").select("print", "least", F.coalesce("root", "id").alias("root"))
+    roots = components(verified(met_ids, sets, classes.select("id", "bands"), Fraction(str(similarity))))
+    placed = settle(classes.join(roots, F.col("id") == F.col("node"), "left").select("print", "least", F.coalesce("root", "id").alias("root")))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.hex(F.min("print")).alias("component"))
-    named = settle(placed.join(ids, "root").select("print", "component_id", "component"))
-    return printed.select("key", "text_hash", "print").join(named, "print").select(F.col("key").alias(key), "text_hash", "component_id", "component")
+    named = settle(join_one(placed, ids, "root").select("print", "component_id", "component"))
+    return join_one(printed.select("key", "text_hash", "print"), named, "print").select(F.col("key").alias(key), "text_hash", "component_id", "component")
