@@ -23,9 +23,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_one, settle
@@ -43,8 +45,9 @@ EXTRA = (
     ("signed", "eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     ("pem", "PRIVATE KEY-----", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----")),
 )
-#: Every text with a candidate has a match of this, which the JVM looks for before Python sees the text.
-POSSIBLE = r"""(?:[pP][aA][sS][sS][wW]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[a-zA-Z]*["']?\x20*[:=]|AKIA[A-Z0-9]|[0-9a-f]{24}|gh[pousr]_|xox[abprs]-|k_live_|AIza|eyJ|PRIVATE KEY-----"""
+#: Of a text with a candidate, its lower-case form has one of these strings or it has a match of one of these patterns.
+_NAMED = ("passw", "secret", "token", "api")
+_SHAPED = ("[0-9a-f]{24}", "(?=[AgxkeP])(?:AKIA|gh[pousr]_|xox[abprs]-|k_live_|AIza|eyJ|PRIVATE KEY-----)")
 KINDS = ("assign", "access", "hex", *(name for name, _, _ in EXTRA))
 BASE = 3
 
@@ -95,6 +98,12 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "s
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
+def possible(text: Column) -> Column:
+    """Whether ``find`` can find anything in the text; cheap, in the JVM, and true for some texts without candidates."""
+    named = F.exists(F.array(F.lower(text)), lambda low: reduce(or_, [low.contains(w) for w in _NAMED]))  # lower-cased once
+    return F.coalesce(reduce(or_, [text.rlike(p) for p in _SHAPED], named), F.lit(False))
+
+
 def frequency(scanned: DataFrame) -> DataFrame:
     """For each hash: rows of distinct repositories (within an owner) and of distinct owners."""
     one = scanned.select("owner", "repository", F.explode(F.array_distinct("candidates.hash")).alias("hash")).groupBy("hash", "owner", "repository").agg(F.lit(1).alias("n"))
@@ -145,14 +154,13 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str =
     c = lambda name: F.col(f"`{name}`")
     # The row travels as one struct, so that none of its names can clash with those used here.
     whole_rows = df.select(F.struct(*[c(n) for n in df.columns]).alias("whole_row"), c(key).alias("k"), c(owner).alias("o"), c(repository).alias("r"), c(text).alias("t"))
-    possible = F.coalesce(F.col("t").rlike(POSSIBLE), F.lit(False))
-    asked = whole_rows.where(possible)
+    asked = whole_rows.where(possible(F.col("t")))
     scanned = settle(scan(asked, "k", "t", "o", "r"))
     live = judged(scanned).where("live").select("key", "text_hash", "start", "stop").distinct()
     spans = live.groupBy("key", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     tagged = asked.select("whole_row", "k", F.xxhash64("t").alias("h"))
     both = tagged.join(spans, F.col("k").eqNullSafe(F.col("key")) & (F.col("h") == F.col("text_hash")), "left")
-    both = both.select("whole_row", "spans").unionByName(whole_rows.where(~possible).select("whole_row", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans")))
+    both = both.select("whole_row", "spans").unionByName(whole_rows.where(~possible(F.col("t"))).select("whole_row", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans")))
     # Spans in order; each keeps what stands between it and the end of the one before.
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"), F.lit(0).alias("n"))
     whole = F.col("whole_row").getField(text)
