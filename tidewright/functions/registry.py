@@ -27,7 +27,8 @@ class Arg:
 
 @dataclass(frozen=True)
 class Function:
-    """``build`` takes Args and returns a column, or a column and its errors.  ``strict``: a null argument is
+    """``build`` takes Args and returns a column, or a column and its errors, and True after them if the column is null by
+    itself where an argument is null or there is an error; its conditions then hold only if no error comes before them.  ``strict``: a null argument is
     an error, as a typed function has no overload for null.  ``result`` may depend on the arguments' types."""
 
     name: str

@@ -15,12 +15,12 @@ B, I, U, D, S, Y, TS, DU, DYN = T.BOOL, T.INT, T.UINT, T.DOUBLE, T.STRING, T.BYT
 LIST, MAP = T.list_of(DYN), T.map_of(DYN, DYN)
 
 
-def _wide(op):
-    """Integer arithmetic in 38 digits, and an error where the result leaves 64 bits."""
+def _bare(op, message: str = "integer overflow"):
+    """Integer arithmetic that is null where it fails."""
 
-    def build(a: Arg, b: Arg):
-        value = op(a.col.cast("decimal(19,0)"), b.col.cast("decimal(19,0)")).try_cast("bigint")
-        return value, {"integer overflow": value.isNull() & a.col.isNotNull() & b.col.isNotNull()}
+    def build(*args: Arg):
+        value = op(*(a.col for a in args))
+        return value, {message: value.isNull()}, True
 
     return build
 
@@ -30,20 +30,31 @@ def _unsigned(value: Column):
     return F.when(fits, value.try_cast("decimal(20,0)")), {"integer overflow": ~fits}
 
 
-for _sign, _op in {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b}.items():
-    register(_sign, (I, I), I, _wide(_op))
+for _sign, _op, _try in (("+", lambda a, b: a + b, F.try_add), ("-", lambda a, b: a - b, F.try_subtract), ("*", lambda a, b: a * b, F.try_multiply)):
+    register(_sign, (I, I), I, _bare(lambda a, b, f=_try: f(a.cast("bigint"), b.cast("bigint"))))
     register(_sign, (D, D), D, lambda a, b, op=_op: op(a.col, b.col))
     register(_sign, (U, U), U, lambda a, b, op=_op: _unsigned(op(a.col, b.col)))
 
 
-def _safe(b: Column) -> Column:
-    return F.when(b != 0, b)
+def _quotient(a: Column, b: Column) -> Column:
+    """Rounded towards zero; null where the divisor is 0 or 64 bits don't hold it.  The operands are written once."""
+    fits = lambda x: (x["b"] != 0) & ((x["b"] != -1) | (x["a"] != -(2**63)))
+    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda x: F.when(fits(x), F.call_function("div", x["a"], x["b"]))), F.lit(0))
 
 
-register("/", (I, I), I, lambda a, b: (F.call_function("div", a.col, F.when((b.col != 0) & ((b.col != -1) | (a.col != -(2**63))), b.col)), {"division by zero": b.col == 0, "integer overflow": (b.col == -1) & (a.col == -(2**63))}))
+def _divided(a: Arg, b: Arg):
+    if b.literal not in (None, 0, -1):  # nothing can fail
+        return F.call_function("div", a.col, b.col)
+    value = _quotient(a.col, b.col)
+    return value, {"division by zero": b.col == 0, "integer overflow": value.isNull()}, True
+
+
+register("/", (I, I), I, _divided)
+register("/", (U, U), U, lambda a, b: (F.call_function("div", a.col, F.when(b.col != 0, b.col)).cast("decimal(20,0)") if b.literal is None else F.call_function("div", a.col, F.nullif(b.col, F.lit(0))).cast("decimal(20,0)"), {"division by zero": b.col == 0}))
+register("%", (U, U), U, lambda a, b: (F.try_mod(a.col, b.col).cast("decimal(20,0)"), {"modulus by zero": b.col == 0}, True))
 register("/", (D, D), D, lambda a, b: F.when(b.col != 0, F.try_divide(a.col, b.col)).when((a.col == 0) | F.isnan(a.col), F.lit(float("nan"))).otherwise(F.signum(a.col) * F.lit(float("inf"))))
-register("%", (I, I), I, lambda a, b: (a.col % _safe(b.col), {"modulus by zero": b.col == 0}))
-register("-_", (I,), I, lambda a: (F.when(a.col != -(2**63), -a.col), {"integer overflow": a.col == -(2**63)}))
+register("%", (I, I), I, _bare(F.try_mod, "modulus by zero"))
+register("-_", (I,), I, _bare(lambda a: F.try_subtract(F.lit(0).cast("bigint"), a)))
 register("-_", (D,), D, lambda a: -a.col)
 register("+", (S, S), S, lambda a, b: F.concat(a.col, b.col))
 register("+", (Y, Y), Y, lambda a, b: F.concat(a.col, b.col))

@@ -5,13 +5,17 @@ where there can be none).  Errors are data: nothing that is compiled here raises
 function's error is that of its first argument that has one, else a null argument, else its own.  ``&&`` and
 ``||`` absorb an error on one side if the other side decides.  A conditional has the error of the branch taken.
 
-Values are null where there is an error, so that a condition can be used in a filter as it is.
+Values are null where there is an error, so that a condition can be used in a filter as it is.  Functions whose
+value is null by itself there need no test for it, and arguments that are errors deep down are evaluated once, so that
+an expression's columns grow with its length and not with a power of its depth.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column
@@ -30,7 +34,9 @@ class CheckFault(ValueError):
 @dataclass(frozen=True)
 class Value:
     """``nullable``: the column may be null without being an error.  ``literal``: of literals.  ``plain``: of
-    conditions, a column that is true where the value is, and false or null elsewhere; scans can use more of these."""
+    conditions, a column that is true where the value is, and false or null elsewhere; scans can use more of these.
+    ``depth``: how many functions, other than arithmetic of integers, stand in one another.
+    ``tail``: if the last of the errors is just that the value is null, its message and the errors before it."""
 
     col: Column
     type: T.Type
@@ -38,13 +44,15 @@ class Value:
     nullable: bool = True
     literal: Any = None
     plain: Column | None = None
+    depth: int = 0
+    tail: tuple[str, Column | None] | None = None
 
     @property
     def test(self) -> Column:
         return self.col if self.plain is None else self.plain
 
     def guarded(self) -> Value:
-        return self if self.err is None else Value(F.when(self.err.isNull(), self.col), self.type, self.err, True)
+        return self if self.err is None else Value(F.when(self.err.isNull(), self.col), self.type, self.err, self.nullable, depth=self.depth)
 
 
 Scope = dict[str, Value]
@@ -165,10 +173,10 @@ class Checker:
         a, b = self._condition(a, sign), self._condition(b, sign)
         ea, eb = self._truth_error(a), self._truth_error(b)
         # Null stands for an error here, and SQL's logic of three values absorbs it as wanted.
-        col = a.guarded().col & b.guarded().col if sign == "&&" else a.guarded().col | b.guarded().col
+        col = a.col & b.col if sign == "&&" else a.col | b.col
         either = first_error(ea, eb)
         plain = a.test & b.test if sign == "&&" else a.test | b.test
-        return Value(col, T.BOOL, None if either is None else F.when(col.isNull(), either), either is not None, plain=plain)
+        return Value(col, T.BOOL, None if either is None else F.when(col.isNull(), either), False, plain=plain)
 
     def choice(self, test: Value, then: Value, other: Value) -> Value:
         self._condition(test, "?:")
@@ -183,7 +191,7 @@ class Checker:
         if then.err is not None or other.err is not None:
             none = F.lit(None).cast("string")
             branch = F.when(test.col, then.err if then.err is not None else none).otherwise(other.err if other.err is not None else none)
-        return Value(F.when(test.col, then.col).when(~test.col, other.col), out, first_error(te, branch), True).guarded()
+        return Value(F.when(test.col, then.col).when(~test.col, other.col), out, first_error(te, branch), then.nullable or other.nullable, depth=max(then.depth, other.depth))
 
     def equality(self, sign: str, a: Value, b: Value) -> Value:
         x, y = T.carrier(a.type), T.carrier(b.type)
@@ -255,20 +263,44 @@ class Checker:
             raise CheckFault(f"no overload of {name!r} for ({', '.join(str(T.carrier(k)) for k in kinds)})" if known else f"undeclared function {name!r}")
         if f.strict and any(T.carrier(k).kind == "null" for k in kinds):
             raise CheckFault(f"no overload of {name!r} for null")
+        depth = max((v.depth for v in given), default=0)
         try:
             result = f.result if isinstance(f.result, T.Type) else f.result(kinds)
             built = f.build(*[Arg(v.col, v.type, v.literal) for v in given])
+            col, own, bare = (*built, False)[:3] if isinstance(built, tuple) else (built, {}, False)
+            if f.strict and not bare and depth >= _DEEP:
+                col = self._once(f, given, bool(own))
         except TypeError as e:
             raise CheckFault(f"{name}: {e}") from e
-        col, own = built if isinstance(built, tuple) else (built, {})
-        errors = [v.err for v in given]
+        # A value that is null by itself where an argument is needs that argument's last error only if it has another name.
+        last = list(own)[-1] if bare and own else None
+        errors = [v.tail[1] if last is not None and v.tail and v.tail[0] == last else v.err for v in given]
         if f.strict:
             errors += [F.when(v.col.isNull(), F.lit("no such overload")) for v in given if v.nullable]
-        errors += [F.when(condition, F.lit(f"{name}: {message}")) for message, condition in own.items()]
+        said = lambda message, condition: F.when(condition, F.lit(message if bare else f"{name}: {message}"))
+        before = first_error(*errors, *(said(m, c) for m, c in own.items() if m != last))
+        errors += [said(*x) for x in own.items()]
         nulls_only = f.strict and not own and all(v.err is None for v in given)
-        value = Value(col, result, first_error(*errors), not f.strict or any(e is not None for e in errors))
+        value = Value(col, result, first_error(*errors), not f.strict or nulls_only and any(v.nullable for v in given), depth=depth + (f.strict and not bare), tail=None if last is None else (last, before))
         # A plain function of null is null already, and stays bare so that a scan can use it.
-        return value if nulls_only else value.guarded()
+        return value if nulls_only or bare or f.strict and depth >= _DEEP else value.guarded()
+
+    def _once(self, f, given: list[Value], fallible: bool) -> Column:
+        """The function's value, null where an argument is null or it fails; each argument is written once."""
+        bound = F.struct(*[v.col.alias(f"a{i}") for i, v in enumerate(given)])
+
+        def body(x: Column) -> Column:
+            args = [Arg(v.col if v.literal is not None else x[f"a{i}"], v.type, v.literal) for i, v in enumerate(given)]
+            built = f.build(*args)
+            col, own = built[:2] if isinstance(built, tuple) else (built, {})
+            ok = [a.col.isNotNull() for a in args if a.literal is None] + [~F.coalesce(c, F.lit(False)) for c in own.values()]
+            return F.when(reduce(and_, ok), col) if ok else col
+
+        return F.get(F.transform(F.array(bound), body), F.lit(0))
+
+
+#: So many functions may stand in one another before their arguments are bound.
+_DEEP = 3
 
 
 def _or_null(err: Column | None) -> Column:
