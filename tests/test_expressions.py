@@ -112,3 +112,25 @@ def test_layouts_and_templates():
     assert java_pattern("2006-01-02T15:04:05.000Z07:00") == "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"
     assert java_pattern("Mon, 02 Jan 2006") == "EEE, dd MMM yyyy"
     assert java_replacement("a$1-${2}") == "a$1-$2" and java_replacement("$$") == "\\$"
+
+
+def _plan_size(spark, source):
+    df = spark.range(10).select(F.col("id").alias("a"))
+    v = compile_expression(source, {"a": Value(F.col("a"), T.INT)})
+    return len(df.select(v.col.alias("v"), v.err.alias("e"))._jdf.queryExecution().analyzed().toString())
+
+
+@pytest.mark.parametrize("source", ["a", "a * 3 - 1", "-a", "a % 7", "padLeft(toString(a), 3, '0') == 'x' ? a : 1"])
+def test_plans_grow_with_the_length_of_an_expression(spark, source):
+    """Twenty terms cost ten times two of them or little more, not a power of them."""
+    two, twenty = (_plan_size(spark, " + ".join([f"({source})"] * n)) for n in (2, 20))
+    assert twenty < 15 * two
+
+
+def test_nested_functions_stay_bounded(spark):
+    nested = "a"
+    for _ in range(8):
+        nested = f"toInt(padLeft(toString({nested}), 4, '0')) / 3"
+    v = compile_expression(nested, {"a": Value(F.col("a"), T.INT)})
+    df = spark.range(3).select((F.col("id") * 10_000_000).alias("a"))
+    assert [r.v for r in df.select(v.col.alias("v")).collect()][0] == 0
