@@ -391,3 +391,42 @@ def test_overlapping_append_holds_all_orders(spark, monkeypatch):
     out = queries.QUERIES["log_overlapping_append"](spark, "/root/testdata/sf0.001")
     assert sorted(map(tuple, out.collect())) == [(i, int(i >= 500)) for i in range(900)]
     assert held == [spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()]
+
+
+def test_log_table_refuses_a_start_before_its_first_index_and_cuts_from_the_newest(spark, tmp_path):
+    from tidewright.sources import log_store as ls
+
+    t = ls.LogTable(spark, f"{tmp_path}/log")
+    t.append(entries(spark, 5, 14), 1)
+    with pytest.raises(ls.LogGap, match="starts at 5"):
+        t.append(entries(spark, 4, 4), 2)
+    t.append(entries(spark, 9, 11, term=2), 2)
+    assert t.ends() == (5, 11)
+    t.append(entries(spark, 7, 8, term=3), 3)
+    assert [(r["index"], r.term) for r in t.read().orderBy("index").collect()] == [(5, 1), (6, 1), (7, 3), (8, 3)] and t.ends() == (5, 8)
+    t.append(entries(spark, 7, 9, term=4), 3)  # another try of the newest batch
+    assert [(r["index"], r.term) for r in t.read().orderBy("index").collect()] == [(5, 1), (6, 1), (7, 4), (8, 4), (9, 4)]
+    with pytest.raises(ls.LogGap):
+        t.append(entries(spark, 10, 10), 1)
+
+
+@pytest.mark.parametrize("schema, good, bad", [
+    ({"type": "object", "properties": {"a": {"oneOf": [{"type": "integer"}, {"minimum": 2}]}}}, ['{"a": 1}', '{"a": 2.5}', "{}"], ['{"a": 3}', '{"a": 1.5}']),
+    ({"type": "object", "properties": {"a": {"not": {"type": "string"}}}}, ['{"a": 1}'], ['{"a": "x"}']),
+    ({"type": "object", "properties": {"a": {"$ref": "#/$defs/n"}}, "$defs": {"n": {"type": "array", "uniqueItems": True, "items": {"type": "array", "items": {"const": "ü"}}}}}, ['{"a": []}', '{"a": [["ü"], []]}'], ['{"a": [["u"]]}', '{"a": [[], []]}']),
+    ({"type": "object", "properties": {"it's": {"type": "null"}}, "additionalProperties": {"type": "integer"}, "maxProperties": 2}, ['{"it\'s": null, "b": 2}'], ['{"it\'s": 1}', '{"b": "x"}', '{"b": 1, "c": 1, "d": 1}']),
+    ({"type": "object", "properties": {"a": {"type": "string"}, "b": {"type": "integer"}}, "if": {"required": ["a"]}, "then": {"required": ["b"]}, "else": {"maxProperties": 0}}, ["{}", '{"a": "x", "b": 1}'], ['{"a": "x"}', '{"b": 1}']),
+])
+def test_json_schema_keywords(spark, schema, good, bad):
+    df = spark.createDataFrame([(x,) for x in [*good, *bad]], "payload string")
+    _, problem = decode.json_event(F.col("payload"), map_json(schema))
+    assert [r.p for r in df.select(problem.isNull().alias("p")).collect()] == [True] * len(good) + [False] * len(bad)
+
+
+def test_columns_without_field_ids_and_formats():
+    cleaned, config = extract(json.dumps({"type": "record", "name": "Event", "x-pipeline": {"columns": [{"name": "id", "expr": "event.id"}]}}))
+    assert "x-pipeline" not in cleaned and config.column_names == ["id"] and config.columns[0].field_id is None
+    with pytest.raises(ConfigError, match="schema format"):
+        from_dict({"columns": COLUMNS, "schema_format": "xml"}).check()
+    with pytest.raises(ConfigError, match="no parameter"):
+        from_dict({"columns": COLUMNS, "sort_order": [{"source_id": 1, "transform": "bucket"}]}).check()

@@ -99,7 +99,8 @@ def as_time(col: Column, kind: S.DataType) -> Column:
     if isinstance(kind, S.LongType):
         return F.when(col < _SECONDS_BELOW, F.timestamp_seconds(col)).when(col < _MILLIS_BELOW, F.timestamp_millis(col)).otherwise(F.timestamp_micros(col))
     if isinstance(kind, S.DoubleType):
-        return F.when(~F.isnan(col) & (F.abs(col) < 1e11), F.timestamp_seconds(F.when(F.abs(col) < 1e11, col)))
+        # Seconds; null only where microseconds of 64 bits can't hold them.
+        return F.timestamp_seconds(F.when(~F.isnan(col) & (F.abs(col) < 9.2e12), col))
     if isinstance(kind, S.StringType):
         shape = r"^\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d:\d\d(?:\.\d{1,9})?(?:Z|[+-]\d\d:\d\d)?)?$"
         return F.when(col.rlike(shape), col.try_cast("timestamp"))

@@ -22,9 +22,11 @@ class ConfigError(ValueError):
 
 @dataclass(frozen=True)
 class ColumnSpec:
+    """``field_id``: None where the table format is to give one; partitions and sort orders can't name such a column."""
+
     name: str
     expr: str
-    field_id: int
+    field_id: int | None = None
     as_type: str | None = None
 
 
@@ -94,6 +96,8 @@ class PipelineConfig:
     def check(self) -> None:
         """Raises ConfigError with every fault."""
         faults = []
+        if self.schema_format and not self.is_json and not self.is_avro:
+            faults.append(f"unknown schema format {self.schema_format!r}")
         if not self.columns:
             faults.append("at least one column is needed")
         names, ids = set(), set()
@@ -104,12 +108,15 @@ class PipelineConfig:
                 faults.append(f"columns[{i}]: duplicate name {c.name!r}")
             if not c.expr:
                 faults.append(f"columns[{i}]: empty expression")
-            if not 0 < c.field_id < FIRST_RESERVED_ID:
+            if c.field_id is None:
+                pass
+            elif not 0 < c.field_id < FIRST_RESERVED_ID:
                 faults.append(f"columns[{i}]: field id {c.field_id} is out of range")
             elif c.field_id in ids:
                 faults.append(f"columns[{i}]: duplicate field id {c.field_id}")
             names.add(c.name)
-            ids.add(c.field_id)
+            if c.field_id is not None:
+                ids.add(c.field_id)
         faults += [f"validate[{i}]: empty expression" for i, v in enumerate(self.validate) if not v]
         own = set()
         for i, p in enumerate(self.partition_spec):
@@ -131,6 +138,8 @@ class PipelineConfig:
                 faults.append(f"{where}: no column with field id {s.source_id}")
             if s.transform and s.transform not in TRANSFORMS:
                 faults.append(f"{where}: unknown transform {s.transform!r}")
+            elif s.transform in ("bucket", "truncate"):
+                faults.append(f"{where}: {s.transform} has no parameter here")
             if s.direction not in ("asc", "desc"):
                 faults.append(f"{where}: unknown direction {s.direction!r}")
             if s.null_order not in ("nulls-first", "nulls-last"):
@@ -143,7 +152,7 @@ def from_dict(d: dict[str, Any]) -> PipelineConfig:
     known = {"columns", "validate", "filter", "partition_spec", "sort_order", "schema_format", "schema_id"}
     try:
         return PipelineConfig(
-            tuple(ColumnSpec(c.get("name", ""), c.get("expr", ""), int(c.get("field_id", 0)), c.get("as") or None) for c in d.get("columns") or ()),
+            tuple(ColumnSpec(c.get("name", ""), c.get("expr", ""), None if c.get("field_id") is None else int(c["field_id"]), c.get("as") or None) for c in d.get("columns") or ()),
             tuple(d.get("validate") or ()),
             d.get("filter") or None,
             tuple(PartitionSpec(int(p.get("source_id", 0)), int(p.get("field_id", 0)), p.get("transform", ""), p.get("name", ""), int(p.get("param") or 0)) for p in d.get("partition_spec") or ()),

@@ -92,7 +92,8 @@ class Pipeline:
     # ------------------------------------------------------------ schema
 
     def iceberg_schema(self) -> str:
-        fields = [{"id": o.spec.field_id, "name": o.spec.name, "required": o.required, "type": o.iceberg} for o in self.outputs]
+        """Columns without a field id have none here either; the table format gives it."""
+        fields = [{**({} if o.spec.field_id is None else {"id": o.spec.field_id}), "name": o.spec.name, "required": o.required, "type": o.iceberg} for o in self.outputs]
         return json.dumps({"type": "struct", "schema-id": self.config.schema_id, "fields": fields})
 
     def schema(self) -> S.StructType:
@@ -100,7 +101,9 @@ class Pipeline:
         parts, sorts = set(self.partition_columns), {n: s for n, s in zip(self.sort_columns, self.config.sort_order, strict=True)}
         fields = []
         for o in self.outputs:
-            about = {"parquet.field.id": o.spec.field_id, "required": o.required, "iceberg.type": o.iceberg}
+            about = {"required": o.required, "iceberg.type": o.iceberg}
+            if o.spec.field_id is not None:
+                about["parquet.field.id"] = o.spec.field_id
             if o.spec.name in parts:
                 about["partition"] = True
             if s := sorts.get(o.spec.name):

@@ -86,7 +86,7 @@ def validate_first_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
 projection("project_as_types", "lineitem", {"k": ("event.l_orderkey", "string"), "line": ("event.l_linenumber", "int"), "price": ("event.l_extendedprice", "decimal(12,2)"), "qty": ("event.l_quantity", "long"), "ship": ("event.l_shipdate", "date"), "flag": "event.l_returnflag", "big": "event.l_quantity > 25.0"},
            "SELECT l_orderkey::VARCHAR AS k, l_linenumber AS line, l_extendedprice::DECIMAL(12,2) AS price, l_quantity::BIGINT AS qty, l_shipdate::DATE::VARCHAR AS ship, l_returnflag AS flag, l_quantity > 25.0 AS big FROM lineitem", as_text=("ship",))
 projection("temporal_parts", "events", {"event_id": "event.event_id", "y": "year(event.ts)", "mo": "month(event.ts)", "d": "day(event.ts)", "h": "hour(event.ts)", "mi": "minute(event.ts)", "s": "second(event.ts)", "dow": "dayOfWeek(event.ts)", "doy": "dayOfYear(event.ts)", "w": "weekOfYear(event.ts)", "dt": "date(event.ts)", "ms": "epochMillis(event.ts)", "back": "date(fromEpochMillis(epochMillis(event.ts)))", "parsed": 'epochMillis(parseTimestamp(date(event.ts) + " 01:02:03", "2006-01-02 15:04:05"))'},
-           "SELECT event_id, year(ts) AS y, month(ts) AS mo, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s, dayofweek(ts) AS dow, dayofyear(ts) AS doy, weekofyear(ts) AS w, strftime(ts, '%Y-%m-%d') AS dt, epoch_ms(ts) AS ms, strftime(ts, '%Y-%m-%d') AS back, epoch_ms(date_trunc('day', ts)) + 3723000 AS parsed FROM events")
+           "SELECT event_id, year(ts) AS y, month(ts) AS mo, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s, dayofweek(ts) AS dow, dayofyear(ts) AS doy, weekofyear(ts) AS w, strftime(ts, '%Y-%m-%d') AS dt, epoch_us(ts) // 1000 AS ms, strftime(ts, '%Y-%m-%d') AS back, epoch_ms(date_trunc('day', ts)) + 3723000 AS parsed FROM events")
 projection("standard_timestamp_parts", "orders", {"o_orderkey": "event.o_orderkey", "y": "event.o_orderdate.getFullYear()", "mo": "event.o_orderdate.getMonth()", "dom": "event.o_orderdate.getDayOfMonth()", "dt": "event.o_orderdate.getDate()", "doy": "event.o_orderdate.getDayOfYear()", "later": 'int(event.o_orderdate + duration("36h")) - int(event.o_orderdate)', "after": 'event.o_orderdate > timestamp("1995-01-01T00:00:00Z")'},
            "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) - 1 AS mo, day(o_orderdate) - 1 AS dom, day(o_orderdate) AS dt, dayofyear(o_orderdate) - 1 AS doy, 129600 AS later, o_orderdate > TIMESTAMP '1995-01-01' AS after FROM orders")
 projection("string_norm", "customer", {"c_custkey": "event.c_custkey", "lo": "lower(event.c_name)", "up": "upper(event.c_mktsegment)", "tr": 'trim("  " + event.c_name + " ")', "tp": 'trimPrefix(event.c_name, "Customer#")', "ts": 'trimSuffix(event.c_mktsegment, "ING")', "rp": 'replace(event.c_name, "0", "o")', "dom": 'extractDomain(event.c_name + "@example.com")', "has": 'event.c_name.contains("1")', "st": 'event.c_mktsegment.startsWith("B")', "n": "size(event.c_name)"},
@@ -134,6 +134,18 @@ projection("arithmetic", "lineitem", {"k": "event.l_orderkey * 10 + event.l_line
            "SELECT l_orderkey * 10 + l_linenumber AS k, l_orderkey // 3 AS q, l_orderkey % 3 AS r, -l_linenumber::BIGINT AS neg, l_extendedprice * (1.0 - l_discount) AS net, l_returnflag || '/' || l_linestatus AS text, l_returnflag IN ('A', 'R') AS pick, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS code FROM lineitem")
 
 
+_TERMS = " + ".join(["event.l_orderkey", "event.l_linenumber", "event.l_partkey", "event.l_suppkey"] * 3)
+projection("sum_of_twelve", "lineitem", {"s": _TERMS, "big": f"{_TERMS} > 100000 && event.l_orderkey - event.l_partkey * 2 + 7 != 0"},
+           "SELECT 3 * (l_orderkey + l_linenumber + l_partkey + l_suppkey) AS s, 3 * (l_orderkey + l_linenumber + l_partkey + l_suppkey) > 100000 AND l_orderkey - l_partkey * 2 + 7 <> 0 AS big FROM lineitem")
+
+
+@query("SELECT event_id, event_id % 3 = 0 AS h, coalesce(CASE WHEN event_id % 3 = 0 THEN event_type END, 'z') AS c4, coalesce(CASE WHEN event_id % 3 = 0 THEN event_type END, 'none') AS fn FROM events")
+def null_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir, "events").withColumn("opt", F.when(F.col("event_id") % 3 == 0, F.col("event_type")))
+    columns = {"event_id": "event.event_id", "h": "has(event.opt)", "c4": 'coalesce4(event.opt, event.opt, event.opt, "z")', "fn": 'ifNull(event.opt, "none")'}
+    return pipeline_over(df, columns).ok_rows(df)
+
+
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, event_id % 4 = 0 AS bad FROM events")
 def json_decode_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = map_json({"type": "object", "title": "Props", "properties": {"k": {"type": "integer"}}, "required": ["k"]})
@@ -334,6 +346,49 @@ def log_overlapping_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_store.merged(held, batch)
 
 
+@query("SELECT o_orderkey + 1 AS index, CASE WHEN o_orderkey < n // 4 THEN 1 WHEN o_orderkey < n // 3 THEN 3 ELSE 4 END AS term FROM orders, (SELECT count(*) AS n FROM orders) WHERE o_orderkey < n // 3 + n // 10")
+def log_replaced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of all orders whose end is replaced by three later batches, each starting before, in or after the one before it."""
+    from .sources.shared import shared_folder
+
+    o = _table(spark, sf_dir, "orders")
+    n = o.count()
+
+    def batch(low: int, high: int, term: int) -> DataFrame:
+        return o.where((F.col("o_orderkey") + 1).between(low, high)).select((F.col("o_orderkey") + 1).cast("long").alias("index"), F.lit(term).cast("long").alias("term"), F.lit("command").alias("type"), F.col("o_orderdate").cast("timestamp").alias("appended_at"), F.col("o_orderstatus").cast("binary").alias("data"))
+
+    log = log_store.LogTable(spark, shared_folder(spark, "log"))
+    log.append(batch(1, n, 1), 1)
+    log.append(batch(n // 2, n // 2 + n // 10, 2), 2)
+    log.append(batch(n // 4 + 1, n // 3, 3), 3)
+    log.append(batch(n // 3 + 1, n // 3 + n // 10, 4), 4)
+    return log.read().select("index", "term")
+
+
+_RULES_OF_JSON = {
+    "type": "object", "required": ["user_id", "tags", "way"], "additionalProperties": False,
+    "properties": {
+        "user_id": {"type": "integer", "minimum": 0}, "name": {"enum": ["é", "b"]}, "tags": {"type": "array", "items": {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 0}}}},
+        "way": {"oneOf": [{"type": "string"}, {"type": "integer", "minimum": 10}, {"type": "integer", "multipleOf": 2}]}, "note": {"anyOf": [{"type": "null"}, {"type": "string", "minLength": 2}]}, "loose": {"minimum": 5},
+    },
+}
+#: A part of a payload for each number of an event, and whether the payload then satisfies the schema.
+_FORMS = (
+    ('"tags": [], "way": "x"', True), ('"tags": [{"k": 1}, {"k": 2}], "way": 11', True), ('"tags": [{"k": -1}], "way": 11', False), ('"tags": [{}], "way": 11', False), ('"tags": [{"k": "1"}], "way": 11', False),
+    ('"tags": [], "way": 12', False), ('"tags": [], "way": 7', False), ('"tags": [], "way": 4', True), ('"tags": [], "way": 4, "name": "é"', True), ('"tags": [], "way": 4, "name": "e"', False), ('"tags": [], "way": 4, "note": null', True),
+    ('"tags": [], "way": 4, "note": "a"', False), ('"tags": [], "way": 4, "note": "ab", "loose": "3"', True), ('"tags": [], "way": 4, "loose": 3', False), ('"tags": [], "way": 4, "more": 3', False), ('"way": 4', False),
+)
+
+
+@query("SELECT event_id, event_id % 16 IN (" + ", ".join(str(i) for i, (_, good) in enumerate(_FORMS) if good) + ") AS good, CASE WHEN good THEN user_id END AS u FROM events")
+def json_schema_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads in valid and broken forms against one schema with alternatives, items and values that aren't ASCII."""
+    form = F.get(F.array(*[F.lit(x) for x, _ in _FORMS]), (F.col("event_id") % len(_FORMS)).cast("int"))
+    text = F.concat(F.lit('{"user_id": '), F.col("user_id").cast("string"), F.lit(", "), form, F.lit("}"))
+    event, problem = json_event(text.cast("binary"), map_json(_RULES_OF_JSON))
+    return _table(spark, sf_dir, "events").select("event_id", problem.isNull().alias("good"), event["user_id"].alias("u"))
+
+
 def _bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as they arrive: an envelope, and the payload as JSON text."""
     body = F.to_json(F.struct("user_id", "event_type", "value", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at")))

@@ -6,6 +6,8 @@ named by its first index; readers see the newest entry of each index up to the l
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,40 +62,79 @@ def merged(held: DataFrame, batch: DataFrame) -> DataFrame:
     if b.n != b.rows or b.high - b.low + 1 != b.n:
         raise LogGap(f"the batch from {b.low} to {b.high} is not contiguous")
     ends = first_last(held).first()
-    if ends.last_index and b.low > ends.last_index + 1:
-        raise LogGap(f"the log ends at {ends.last_index}, the batch starts at {b.low}")
+    check_start(b.low, ends.first_index, ends.last_index)
     return held.where(F.col("index") < b.low).unionByName(batch)
 
 
+def check_start(start: int, first: int, last: int) -> None:
+    """A batch follows on the log or replaces its end; 0 and 0 stand for an empty log."""
+    if last and start > last + 1:
+        raise LogGap(f"the log ends at {last}, the batch starts at {start}")
+    if last and start < first:
+        raise LogGap(f"the log starts at {first}, the batch at {start}")
+
+
 class LogTable:
+    """Batches are folders ``seq=…/first=…/last=…``, so that what each holds is read from names, and never from entries."""
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def _exists(self) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    def _path(self, *parts: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *parts]))
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def batches(self) -> list[tuple[int, int, int]]:
+        """(seq, first, last) of each batch, by seq: one short tuple for each append."""
+        path, files = self._path("seq=*", "first=*", "last=*")
+        found = [re.search(r"seq=(\d+)/first=(\d+)/last=(\d+)$", x.getPath().toString()) for x in files.globStatus(path) or []]
+        return sorted((int(m[1]), int(m[2]), int(m[3])) for m in found if m and files.exists(self._path(f"seq={m[1]}", f"first={m[2]}", f"last={m[3]}", "_SUCCESS")[0]))
+
+    @staticmethod
+    def live(batches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """(seq, first, last, end): a batch's entries from first to end count, as later batches that start at or before an
+        index replace it.  One pass from the newest to the oldest."""
+        out, cut = [], None
+        for seq, first, last in reversed(batches):
+            end = last if cut is None else min(last, cut - 1)
+            if end >= first:
+                out.append((seq, first, last, end))
+            cut = first if cut is None else min(cut, first)
+        return out[::-1]
 
     def read(self) -> DataFrame:
-        """Of each index the entry of the newest batch that reaches no further than the end of the log."""
-        if not self._exists():
-            return self.spark.createDataFrame([], ENTRIES)
-        all_rows = self.spark.read.option("basePath", self.folder).schema(f"{ENTRIES}, seq long, first long").parquet(self.folder)
-        # A later batch that starts at or before an index replaces it: batches are few, entries many.
-        batches = all_rows.select("seq", "first").distinct()
-        later = batches.select(F.col("seq").alias("later_seq"), F.col("first").alias("later_first"))
-        cut = batches.join(F.broadcast(later), F.col("later_seq") > F.col("seq"), "left").groupBy("seq").agg(F.min("later_first").alias("cut")) if batches.count() <= 10_000 else None
-        if cut is None:
-            newest = all_rows.groupBy("index").agg(F.max_by(F.struct("term", "type", "appended_at", "data"), "seq").alias("e"))
-            return newest.select("index", "e.*")
-        return all_rows.join(F.broadcast(cut), "seq").where(F.col("cut").isNull() | (F.col("index") < F.col("cut"))).select("index", "term", "type", "appended_at", "data")
+        """Batches that are whole are read as they are; of those whose end is replaced, the rest."""
+        live = self.live(self.batches())
+        path = lambda x: f"{self.folder}/seq={x[0]}/first={x[1]}/last={x[2]}"
+        whole, cut = [x for x in live if x[3] == x[2]], [x for x in live if x[3] < x[2]]
+        out = self.spark.read.schema(ENTRIES).parquet(*map(path, whole)) if whole else self.spark.createDataFrame([], ENTRIES)
+        if cut:
+            ends = self.spark.createDataFrame([(x[0], x[3]) for x in cut], "seq long, end long")
+            rest = self.spark.read.option("basePath", self.folder).schema(f"{ENTRIES}, seq long").parquet(*map(path, cut))
+            out = out.unionByName(rest.join(ends, "seq").where("index <= end").select(out.columns))
+        return out
+
+    def ends(self, without: int | None = None) -> tuple[int, int]:
+        """The first and the last index, 0 and 0 for an empty log; no entry is read."""
+        live = self.live([x for x in self.batches() if x[0] != without])
+        return (min(x[1] for x in live), max(x[3] for x in live)) if live else (0, 0)
 
     def append(self, batch: DataFrame, seq: int) -> None:
-        """``seq``: the batch's own number; the same number again replaces it, so a retry changes nothing."""
-        held = self.read()
-        merged(held, batch)
-        low = batch.agg(F.min("index")).first()[0]
-        if low is not None:
-            batch.write.mode("overwrite").parquet(f"{self.folder}/seq={seq}/first={low}")
+        """``seq``: the batch's own number; the newest one's again replaces it, so a retry changes nothing."""
+        b = batch.agg(F.min("index").alias("low"), F.max("index").alias("high"), F.count_distinct("index").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+        if not b.rows:
+            return
+        if b.n != b.rows or b.high - b.low + 1 != b.n:
+            raise LogGap(f"the batch from {b.low} to {b.high} is not contiguous")
+        held = self.batches()
+        if held and seq < held[-1][0]:
+            raise LogGap(f"batch {seq} comes after batch {held[-1][0]}")
+        check_start(b.low, *self.ends(without=seq))
+        batch.select(*[n.split()[0] for n in ENTRIES.split(", ")]).write.mode("overwrite").parquet(f"{self.folder}/seq={seq}/first={b.low}/last={b.high}")
+        for old in held:  # what an earlier try wrote under this number
+            if old[0] == seq and old[1:] != (b.low, b.high):
+                path, files = self._path(f"seq={seq}", f"first={old[1]}", f"last={old[2]}")
+                files.delete(path, True)
 
     def backup_after(self, index: int, target: str) -> None:
         """Copies entries after an index."""

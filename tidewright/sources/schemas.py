@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add, or_
 from typing import Any
 
 from pyspark.sql import Column
@@ -178,80 +180,143 @@ def map_json(source: str | dict, name: str = "Event") -> Mapped:
 
 
 #: Keywords of JSON Schema that ``violations`` knows; others are refused, not ignored.
-_CHECKED = frozenset("type required enum const minimum maximum exclusiveMinimum exclusiveMaximum minLength maxLength pattern items minItems maxItems properties additionalProperties".split())
-_SAID = frozenset("$schema $id $ref title description default examples format definitions $defs allOf anyOf oneOf $comment".split())
+_CHECKED = frozenset("""type required enum const minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength pattern items minItems maxItems uniqueItems
+    properties additionalProperties minProperties maxProperties allOf anyOf oneOf not if then else $ref""".split())
+_SAID = frozenset("$schema $id title description default examples format definitions $defs $comment".split())
 
+#: Of each type, how Spark names the type of a variant's value.
+_NAMES = {"string": "STRING", "boolean": "BOOLEAN", "object": "OBJECT<.*>", "array": "ARRAY<.*>", "null": "VOID", "number": r"BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\)"}
+Tests = list[tuple[str, Column]]
 
-def violations(tree: dict, at: Callable[[], Column]) -> Column | None:
-    """The first violation of the checked keywords by a payload, as text; null if there is none.
 
-    ``at`` gives the payload as a variant, in which absent, null and wrongly typed values can be told apart."""
-    tests: list[tuple[str, Column]] = []
-    root = at()
+class _Place:
+    """A value inside a variant: ``root`` and the path from it; ``shown``: the path in messages."""
+
+    def __init__(self, root: Column, path: str, shown: str):
+        self.root, self.path, self.shown = root, path, shown
+
+    def get(self, kind: str = "variant") -> Column:
+        return F.try_variant_get(self.root, self.path, kind)
 
-    def get(path: str, kind: str) -> Column:
-        return F.try_variant_get(root, path, kind)
+    def is_kind(self, kind: str) -> Column:
+        if kind == "integer":
+            value = self.get("double")
+            return self.is_kind("number") & (value == F.floor(value))
+        return F.schema_of_variant(self.get()).rlike(f"^(?:{_NAMES[kind]})$") if kind in _NAMES else F.lit(True)
 
-    def kind_of(path: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(root, path, "variant"))
+    def equals(self, value: Any) -> Column:
+        if isinstance(value, bool):
+            return self.is_kind("boolean") & (self.get("boolean") == F.lit(value))
+        if isinstance(value, int | float):
+            return self.is_kind("number") & (self.get("double") == F.lit(float(value)))
+        if isinstance(value, str):
+            return self.is_kind("string") & (self.get("string") == F.lit(value))
+        if value is None:
+            return self.is_kind("null")
+        return F.to_json(self.get()) == F.to_json(F.parse_json(F.lit(json.dumps(value))))
 
-    def is_kind(path: str, kind: str) -> Column:
-        said = kind_of(path)
-        tests_by = {"string": said == "STRING", "boolean": said == "BOOLEAN", "integer": (said == "BIGINT") | said.rlike(r"^DECIMAL\(\d+,0\)$") | (said == "DOUBLE") & (get(path, "double") == F.floor(get(path, "double"))), "number": said.isin("BIGINT", "DOUBLE", "FLOAT") | said.startswith("DECIMAL"), "object": said.startswith("OBJECT"), "array": said.startswith("ARRAY"), "null": said == "VOID"}
-        return tests_by.get(kind, F.lit(True))
+    def member(self, name: str) -> _Place:
+        if "'" in name and '"' in name:
+            raise SchemaFault(f"property {name!r} has both kinds of quotes")
+        quote = '"' if "'" in name else "'"
+        return _Place(self.root, f"{self.path}[{quote}{name}{quote}]", f"{self.shown}.{name}")
 
-    def walk(node: Any, path: str, depth: int = 0) -> None:
+
+def violations(tree: dict, at: Callable[[], Column]) -> Column | None:
+    """The first violation of the checked keywords by a payload, as text; null if there is none.
+
+    ``at`` gives the payload as a variant, in which absent, null and wrongly typed values can be told apart.  As in JSON
+    Schema, a keyword of one type says nothing about values of another."""
+
+    def target(ref: str, open_refs: tuple[str, ...]) -> Any:
+        if ref in open_refs:
+            raise SchemaFault(f"recursive schema {ref!r}")
+        found: Any = tree
+        for part in ref.removeprefix("#").strip("/").split("/"):
+            found = found.get(part.replace("~1", "/").replace("~0", "~")) if isinstance(found, dict) and part else found
+        if found is None or not ref.startswith("#"):
+            raise SchemaFault(f"cannot resolve {ref!r}")
+        return found
+
+    def holds(node: Any, v: _Place, refs: tuple[str, ...]) -> Column:
+        tests = walk(node, v, refs)
+        return ~reduce(or_, [t for _, t in tests]) if tests else F.lit(True)
+
+    def walk(node: Any, v: _Place, refs: tuple[str, ...] = ()) -> Tests:
+        if node is True or node == {}:
+            return []
+        present = v.get().isNotNull()
+        if node is False:
+            return [(f"{v.shown}: not allowed", present)]
         if not isinstance(node, dict):
-            return
+            raise SchemaFault(f"not a schema: {node!r}")
         for k in node:
             if k not in _CHECKED and k not in _SAID and k != "x-pipeline":
-                raise SchemaFault(f"keyword {k!r} at {path} is not supported")
+                raise SchemaFault(f"keyword {k!r} at {v.shown} is not supported")
+        tests: Tests = []
+        more = lambda what, test: tests.append((f"{v.shown}: {what}", present & F.coalesce(test, F.lit(False))))
         if "$ref" in node:
-            where = node["$ref"].split("/")
-            node = tree.get(where[1], {}).get(where[2], {}) if len(where) == 3 and depth < 8 else {}
-        for part in node.get("allOf", []):
-            walk(part, path, depth + 1)
-        present = F.try_variant_get(root, path, "variant").isNotNull()
-        bad = lambda what, test: tests.append((f"{path}: {what}", present & F.coalesce(test, F.lit(False))))
+            tests += walk(target(node["$ref"], refs), v, (*refs, node["$ref"]))
         if "type" in node:
             kinds = node["type"] if isinstance(node["type"], list) else [node["type"]]
-            fits = is_kind(path, kinds[0])
-            for k in kinds[1:]:
-                fits = fits | is_kind(path, k)
-            bad(f"not of type {'/'.join(kinds)}", ~fits)
+            more(f"not of type {'/'.join(kinds)}", ~reduce(or_, [F.coalesce(v.is_kind(k), F.lit(False)) for k in kinds]))
         if "enum" in node or "const" in node:
-            allowed = node.get("enum", [node.get("const")])
-            bad("not an allowed value", ~F.to_json(F.try_variant_get(root, path, "variant")).isin(*[json.dumps(v) for v in allowed]))
-        number, text = get(path, "double"), get(path, "string")
-        for k, test in {"minimum": lambda v: number < v, "maximum": lambda v: number > v, "exclusiveMinimum": lambda v: number <= v, "exclusiveMaximum": lambda v: number >= v}.items():
-            if isinstance(node.get(k), int | float):
-                bad(k, test(node[k]))
-        is_text = kind_of(path) == "STRING"
+            more("not an allowed value", ~reduce(or_, [F.coalesce(v.equals(x), F.lit(False)) for x in node.get("enum", [node.get("const")])], F.lit(False)))
+        number = lambda: F.when(v.is_kind("number"), v.get("double"))
+        for k, test in {"minimum": lambda n, x: n < x, "maximum": lambda n, x: n > x, "exclusiveMinimum": lambda n, x: n <= x, "exclusiveMaximum": lambda n, x: n >= x, "multipleOf": lambda n, x: F.abs(n / x - F.round(n / x)) > 1e-9}.items():
+            if isinstance(node.get(k), int | float) and not isinstance(node[k], bool):
+                more(k, test(number(), F.lit(float(node[k]))))
+        text = lambda: F.when(v.is_kind("string"), v.get("string"))
         if "minLength" in node:
-            bad("minLength", is_text & (F.length(text) < node["minLength"]))
+            more("minLength", F.length(text()) < node["minLength"])
         if "maxLength" in node:
-            bad("maxLength", is_text & (F.length(text) > node["maxLength"]))
+            more("maxLength", F.length(text()) > node["maxLength"])
         if "pattern" in node:
-            bad("pattern", is_text & ~text.rlike(node["pattern"]))
-        items = F.try_variant_get(root, path, "array<variant>")
+            more("pattern", ~text().rlike(node["pattern"]))
+        items = v.get("array<variant>")
         if "minItems" in node:
-            bad("minItems", F.size(items) < node["minItems"])
+            more("minItems", F.size(items) < node["minItems"])
         if "maxItems" in node:
-            bad("maxItems", F.size(items) > node["maxItems"])
-        if isinstance(node.get("items"), dict) and isinstance(node["items"].get("type"), str):
-            want = node["items"]["type"]
-            pattern = {"string": "STRING", "boolean": "BOOLEAN", "integer": r"BIGINT|DECIMAL\(\d+,0\)", "number": r"BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\)", "object": r"OBJECT<.*>", "array": r"ARRAY<.*>"}.get(want)
-            if pattern:
-                bad(f"an item is not of type {want}", F.exists(items, lambda x: ~F.schema_of_variant(x).rlike(f"^(?:{pattern})$")))
+            more("maxItems", F.size(items) > node["maxItems"])
+        if node.get("uniqueItems"):
+            told = F.transform(items, lambda x: F.to_json(x))
+            more("uniqueItems", F.size(F.array_distinct(told)) < F.size(told))
+        if isinstance(node.get("items"), list):
+            raise SchemaFault(f"items as a list at {v.shown} is not supported")
+        if "items" in node and walk(node["items"], _Place(v.root, v.path, f"{v.shown}[]"), refs):
+            more("an item breaks its schema", F.exists(items, lambda x: ~holds(node["items"], _Place(x, "$", ""), refs)))
+        is_object = lambda: v.is_kind("object")
         for name in node.get("required", []):
-            bad(f"{name} is missing", F.try_variant_get(root, f"{path}['{name}']", "variant").isNull())
-        for name, inner in node.get("properties", {}).items():
-            walk(inner, f"{path}['{name}']", depth + 1)
-        if node.get("additionalProperties") is False:
-            keys = F.json_object_keys(F.to_json(F.try_variant_get(root, path, "variant")))
-            bad("an undeclared property", F.exists(keys, lambda k: ~k.isin(*(node.get("properties") or {"": 0}))))
-
-    walk(tree, "$")
+            more(f"{name} is missing", is_object() & v.member(name).get().isNull())
+        declared = node.get("properties", {})
+        for name, inner in declared.items():
+            tests += walk(inner, v.member(name), refs)
+        entries = lambda: F.map_entries(v.get("map<string,variant>"))
+        extra = node.get("additionalProperties")
+        other = lambda e: ~e["key"].isin(*declared) if declared else F.lit(True)
+        if extra is False:
+            more("an undeclared property", F.exists(entries(), other))
+        elif isinstance(extra, dict) and extra:
+            more("an undeclared property breaks its schema", F.exists(entries(), lambda e: other(e) & ~holds(extra, _Place(e["value"], "$", ""), refs)))
+        if "minProperties" in node:
+            more("minProperties", F.size(entries()) < node["minProperties"])
+        if "maxProperties" in node:
+            more("maxProperties", F.size(entries()) > node["maxProperties"])
+        for part in node.get("allOf", []):
+            tests += walk(part, v, refs)
+        if "anyOf" in node:
+            more("anyOf", ~reduce(or_, [holds(x, v, refs) for x in node["anyOf"]]))
+        if "oneOf" in node:
+            more("oneOf", reduce(add, [holds(x, v, refs).cast("int") for x in node["oneOf"]]) != 1)
+        if "not" in node:
+            more("not", holds(node["not"], v, refs))
+        if "if" in node:
+            test = holds(node["if"], v, refs)
+            more("then", test & ~holds(node.get("then", True), v, refs))
+            more("else", ~test & ~holds(node.get("else", True), v, refs))
+        return tests
+
+    tests = walk(tree, _Place(at(), "$", "$"))
     out = None
     for message, test in tests:
         out = F.when(test, F.lit(message)) if out is None else out.when(test, F.lit(message))
