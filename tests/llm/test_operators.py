@@ -375,6 +375,43 @@ def test_substring_dedup(documents):
     assert any(x.n_removed for x in out.collect())
 
 
+def brute_removed(rows, window):
+    """Words removed of each row, by (key or infinity, text)."""
+    key = lambda d: float("inf") if d is None else d
+    first, out = {}, []
+    for d, t in rows:
+        w = words(t)
+        for i in range(len(w) - window + 1):
+            run = tuple(w[i : i + window])
+            first[run] = min(first.get(run, float("inf")), key(d))
+    for d, t in rows:
+        w = words(t)
+        out.append((d, len({j for i in range(len(w) - window + 1) if first[tuple(w[i : i + window])] < key(d) for j in range(i, i + window)})))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("window, first", [(50, 3), (13, 1), (8, 8), (5, 9)])
+def test_substring_dedup_at_any_levels(spark, window, first):
+    r, vocab = random.Random(31), vocabulary(7, 40)
+    passages = [prose(r, n, vocab) for n in (5, 9, 14, 52, 120)]
+    rows = [(i, " ".join(x for _ in range(3) for x in (prose(r, r.randint(0, 30), vocab), r.choice(passages)))) for i in range(60)]
+    assert substring_dedup.lengths(50, 3) == [3, 6, 12, 24, 48, 50]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert table(substring_dedup.remove_repeats(df, window, first=first, texts=False), "doc_id", "n_removed") == brute_removed(rows, window)
+
+
+def test_substring_dedup_splits_one_key_with_many_rows(spark):
+    r, vocab = random.Random(32), vocabulary(8, 60)
+    shared = [prose(r, 20, vocab) for _ in range(4)]
+    text = lambda: " ".join([prose(r, r.randint(0, 15), vocab), r.choice(shared), prose(r, 5, vocab)])
+    rows = [(None, text()) for _ in range(150)] + [(7, text()) for _ in range(150)] + [(k, text()) for k in (-(2**63), -5, 3, 8, 2**53 + 1, 2**63 - 1) for _ in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert substring_dedup.dealt(df, "doc_id", "text").where("key IS NULL OR key = 7").groupBy("key").agg({"bucket": "max"}).count() == 2
+    parts = {x.key: x.n for x in substring_dedup.dealt(df, "doc_id", "text").selectExpr("key", "bucket").distinct().groupBy("key").count().withColumnRenamed("count", "n").collect()}
+    assert parts[None] > 1 and parts[7] > 1 and parts[8] == 1
+    assert table(substring_dedup.remove_repeats(df), "doc_id", "n_removed") == brute_removed(rows, 13)
+
+
 def test_anchors_of_equal_windows_are_equal():
     r = random.Random(9)
     text = " ".join(r.choice("abc") for _ in range(200))

@@ -61,7 +61,7 @@ def range_bounds(df: DataFrame, key: str, buckets: int) -> list[float]:
     if buckets < 2:
         return []
     cuts = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(F.col(key).cast("double"), cuts, F.lit(max(10_000, 20 * buckets))).alias("q")).first()
+    row = df.agg(F.percentile_approx(F.col(key).cast("double"), cuts, F.lit(max(10_000, 4 * buckets))).alias("q")).first()
     return sorted(set(row["q"] or []))
 
 

@@ -48,7 +48,7 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
