@@ -430,3 +430,33 @@ def test_columns_without_field_ids_and_formats():
         from_dict({"columns": COLUMNS, "schema_format": "xml"}).check()
     with pytest.raises(ConfigError, match="no parameter"):
         from_dict({"columns": COLUMNS, "sort_order": [{"source_id": 1, "transform": "bucket"}]}).check()
+
+
+#: Fixed value: an entry laid out by hand (id b"i", type "t", occurred_at 5, schema_id 9, one pair of metadata).
+ENTRY_BYTES = bytes.fromhex(
+    "18000000" "1400" "2000" "0400" "0800" "1000" "0000" "0000" "0000" "1800" "1c00"  # root 24; vtable at 4: 20 bytes, table of 32, fields
+    "14000000" "1c000000" "20000000" "00000000" "0500000000000000" "09000000" "14000000"  # table at 24
+    "01000000" "69000000" "01000000" "74000000" "01000000" "0c000000" "0800" "0c00" "0400" "0800" "08000000" "08000000" "0c000000" "01000000" "6b000000" "01000000" "76000000"
+)
+
+
+def test_log_entries(spark):
+    from tidewright.sources import entries as en
+
+    event, error = en.decode_one(ENTRY_BYTES)
+    assert error is None and event == {"event_id": b"i", "event_type": "t", "occurred_at": 5, "ingested_at": 0, "payload": None, "compression": "none", "schema_id": 9, "metadata": [{"key": "k", "value": b"v"}]}
+    import random
+
+    r = random.Random(3)
+    raw = lambda: r.choice([None, b"", r.randbytes(r.randint(1, 30))])
+    for _ in range(300):
+        e = {"event_id": raw(), "event_type": r.choice([None, "", "click", "é漢"]), "occurred_at": r.choice([0, 2**62, 17]), "ingested_at": r.choice([0, 1]), "payload": raw(), "compression": r.choice(en.COMPRESSION), "schema_id": r.choice([0, 2**32 - 1]), "metadata": [{"key": r.choice(["k", ""]), "value": raw()} for _ in range(r.randint(0, 4))]}
+        data = en.encode_one(e)
+        assert en.decode_one(data) == (e, None)
+        for cut in range(0, len(data), 3):
+            en.decode_one(data[:cut])  # an error or a shorter event, never an exception
+        broken = bytearray(data)
+        broken[r.randrange(len(broken))] ^= 1 << r.randrange(8)
+        en.decode_one(bytes(broken))
+    df = spark.createDataFrame([(ENTRY_BYTES,), (b"x",), (None,)], "data binary")
+    assert [x.d.error for x in df.select(en.decoder(F.col("data")).alias("d")).collect()] == [None, "decoding failed: too short", "no entry"]

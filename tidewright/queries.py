@@ -308,6 +308,83 @@ def lifecycle_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.fold(c.withColumns(zero)).select("segment_id", "state", "assigned_to", "attempt_count", "failure_reason")
 
 
+@query(_SEGMENTS_SQL + """
+    SELECT segment_id, greatest(first_index, 150)::BIGINT AS advanced, CASE WHEN entry_count * 20 > 0 THEN least(last_index, entry_count * 20) ELSE 0 END::BIGINT AS capped,
+           CASE WHEN first_index - 1 > 0 AND first_index - 1 <= 300 THEN first_index - 1 ELSE 300 END::BIGINT AS snap, 'node-' || (segment_id % 3) AS node, entry_count > 0 AND last_index <= 500 AS goes FROM segments
+""")
+def segments_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indices that only move forward, deletes up to the safe index, snapshots, the node that a segment falls to, and what compaction frees."""
+    s = _segments(spark, sf_dir)
+    free = lifecycle.deletable(s, 500).select("segment_id", F.lit(True).alias("goes"))
+    nodes = ["node-0", "node-1", "node-2"]
+    long = lambda c: c.cast("long")
+    out = s.select("segment_id", long(lifecycle.advance(F.col("first_index"), F.lit(150))).alias("advanced"), long(lifecycle.capped_delete(F.col("last_index"), F.col("entry_count") * 20)).alias("capped"), long(lifecycle.snapshot_index(F.col("first_index") - 1, F.lit(300))).alias("snap"), lifecycle.assign(F.col("segment_id"), nodes).alias("node"))
+    return out.join(free, "segment_id", "left").withColumn("goes", F.coalesce("goes", F.lit(False)))
+
+
+@query(_SEGMENTS_SQL + "SELECT last_index::BIGINT AS log_index, sealed_term::BIGINT AS log_term, 'UPLOADED' AS kind, segment_id, assigned_to AS node, entry_count, 'done' AS reason FROM segments WHERE state = 2")
+def segments_snapshot_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands for the uploaded segments of a snapshot that was written and read back."""
+    from .sources.shared import shared_folder
+
+    folder = shared_folder(spark, "snapshot")
+    log_store.snapshot(_segments(spark, sf_dir), folder)
+    held = log_store.restore(spark, folder).where("state = 2")
+    return lifecycle.command_rows(held, "UPLOADED", F.col("last_index"), F.col("sealed_term"), "done").select("log_index", "log_term", "kind", "segment_id", "node", "entry_count", "reason")
+
+
+@query("SELECT event_id, array_to_string(list_transform(range((event_id * 2) % 5), lambda x: props), '|') AS frames FROM events")
+def batch_frame_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's properties some times over, framed as one batch, with a broken end, and cut again."""
+    copies = F.transform(F.sequence(F.lit(0), ((F.col("event_id") * 2) % 5).cast("int")), lambda x: F.col("props").cast("binary"))
+    batch = F.concat(avro.join_frames(F.slice(copies, F.lit(1), F.size(copies) - 1)), F.unhex(F.lit("05000000AB")))
+    frames = avro.split_frames(batch, F.lit(0))
+    return _table(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(frames, lambda x: x.cast("string")), "|").alias("frames"))
+
+
+@query("SELECT event_id, event_id % 7 <> 0 AS good, CASE WHEN event_id % 7 <> 0 THEN event_id % 64 END AS k, CASE WHEN event_id % 7 <> 0 THEN event_type END AS kind, CASE WHEN event_id % 7 <> 0 AND event_id % 2 = 0 THEN user_id % 50 - 25 END AS u FROM events")
+def avro_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Avro payloads that are put together from bytes; of every seventh the last byte is missing."""
+    import json
+
+    schema = {"type": "record", "name": "E", "fields": [{"name": "k", "type": "long"}, {"name": "kind", "type": "string"}, {"name": "u", "type": ["null", "int"]}]}
+    byte = lambda n: F.lpad(F.hex(n.cast("long")), 2, "0")
+    signed = F.col("user_id") % 50 - 25
+    zigzag = F.when(signed >= 0, signed * 2).otherwise(-signed * 2 - 1)
+    low = (F.col("event_id") % 64) * 2  # a number of one byte: below 128, and even for numbers that aren't negative
+    union = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("02"), byte(zigzag))).otherwise(F.lit("00"))
+    text = F.concat(byte(low), byte(F.octet_length("event_type") * 2), F.hex("event_type"), union)
+    text = F.when(F.col("event_id") % 7 == 0, F.left(text, F.length(text) - 2)).otherwise(text)
+    out = _table(spark, sf_dir, "events").withColumn("payload", F.unhex(text))
+    d = out.withColumn("d", avro.decoder(json.dumps(schema))("payload"))
+    return d.select("event_id", F.col("d.error").isNull().alias("good"), "d.event.k", "d.event.kind", F.col("d.event.u").cast("long").alias("u"))
+
+
+@query("SELECT event_id::VARCHAR AS id, event_type AS kind, epoch_us(ts) AS us, props AS payload, event_id % 3 AS schema_id, CASE WHEN event_id % 2 = 0 THEN 'zstd' ELSE 'none' END AS compression, user_id::VARCHAR AS who, 7::BIGINT AS lsn FROM events")
+def entries_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as binary log entries, read back and taken into the rows of the log."""
+    from .sources import entries, ingest
+
+    e = _table(spark, sf_dir, "events")
+    event = F.struct(F.col("event_id").cast("string").cast("binary").alias("event_id"), "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("occurred_at"), F.lit(1).cast("long").alias("ingested_at"), F.col("props").cast("binary").alias("payload"), F.when(F.col("event_id") % 2 == 0, "zstd").otherwise("none").alias("compression"), (F.col("event_id") % 3).cast("long").alias("schema_id"), F.array(F.struct(F.lit("who").alias("key"), F.col("user_id").cast("string").cast("binary").alias("value"))).alias("metadata"))
+    rows = ingest.to_log(e.select(entries.decoder(entries.encoder(event)).alias("d")).select("d.event.*"), 7)
+    kept = ingest.scan_from(rows, 7)
+    return kept.select(F.col("_event_id").cast("string").alias("id"), F.col("_event_type").alias("kind"), F.unix_micros("_occurred_at").alias("us"), F.col("payload").cast("string").alias("payload"), F.col("_schema_id").alias("schema_id"), "compression", F.col("metadata")[0]["value"].cast("string").alias("who"), F.col("_lsn").alias("lsn"))
+
+
+@query("SELECT strftime(o_orderdate, '%Y') AS year, count(*)::BIGINT AS n, 4::BIGINT AS schema_id FROM orders GROUP BY 1")
+def sink_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of a written table: rows of its files, summed by partition."""
+    from .sources.shared import shared_folder
+
+    df = _table(spark, sf_dir, "orders")
+    p = pipeline_over(df, {"o_orderkey": "event.o_orderkey", "o_orderdate": "event.o_orderdate"}, partitions=[{"source_id": 2, "field_id": 1000, "transform": "year", "name": "year"}])
+    folder = shared_folder(spark, "manifest")
+    sink.write(p.ok_rows(df), p, folder)
+    files = sink.manifest(spark, folder, 4)
+    return files.groupBy(F.regexp_extract("object_key", "year=([0-9]+)", 1).alias("year"), "schema_id").agg(F.sum("row_count").alias("n"))
+
+
 @query("SELECT event_id, ((event_id * 2) % 5) AS n_frames FROM events")
 def batch_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames cut from a binary batch: each event's properties, framed some times over, and a broken end."""
