@@ -1,5 +1,6 @@
 """Operators' inner parts against plain versions of the same."""
 
+import hashlib
 import random
 from collections import defaultdict
 
@@ -237,3 +238,27 @@ def test_blocks_find_what_pairs_find(monkeypatch, spark):
     for crowd, few in ((4096, 10**6), (3, 0)):
         found = {x.node: x.root for x in components(simhash.verified(members, held, lists, Fraction(4, 5), crowd=crowd, few=few)).collect()}
         assert {i: found.get(i, i) for i in sets} == {i: top(i) for i in sets}
+
+
+@pytest.mark.parametrize("least", [1, 3, 1024])
+def test_hot_keys_are_split_and_every_row_has_its_next(spark, least):
+    r = random.Random(77)
+    text = lambda: "".join(r.choice("ab é") for _ in range(r.randint(0, 30)))
+    big = (1 << 60) + 1
+    rows = [(None, text()) for _ in range(60)] + [(7, "a shared beginning " * 8 + text()) for _ in range(40)] + [(big, text()) for _ in range(20)] + [(big - 1, text()), (big + 1, text()), (big + 1, text())]
+    rows += [(None, "the same")] * 30 + [(7, None)] * 9 + [(7, "")] * 4 + [(i, text()) for i in range(-20, 20)]
+    r.shuffle(rows)
+    order = sorted(((k, t or "") for k, t in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1]), reverse=True)
+    expected = []
+    for (k, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(t) // 2
+        changed = t[: len(t) - half] + after[:half]
+        own, other, following = ([h for h, _ in plain_fingerprint(x, 8, 8)] for x in (t, changed, after))
+        likeness = [len(set(own) & set(x)) / len(set(own) | set(x)) if own or x else 1.0 for x in (other, following)]
+        expected.append((k, len(t), hashlib.sha256(changed.encode()).hexdigest(), *likeness))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    dealt, once, _ = winnowing.with_next(df, "doc_id", "text", least)
+    assert (once is not None) == (least < 1024) == (dealt.where("own AND doc_id IS NULL").select("bucket").distinct().count() > 1)
+    out = winnowing.compare_with_next(df, least=least)
+    found = [tuple(x) for x in out.select("doc_id", "n_chars", "edited_sha256", "near_edited", "near_next").collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
