@@ -258,7 +258,7 @@ def test_hot_keys_are_split_and_every_row_has_its_next(spark, least):
         expected.append((k, len(t), hashlib.sha256(changed.encode()).hexdigest(), *likeness))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     dealt, once, _ = winnowing.with_next(df, "doc_id", "text", least)
-    assert (once is not None) == (least < 1024) == (dealt.where("own AND doc_id IS NULL").select("bucket").distinct().count() > 1)
+    assert (once is not None) == (least < 1024) == (dealt.where("own AND key IS NULL").select("bucket").distinct().count() > 1)
     out = winnowing.compare_with_next(df, least=least)
     found = [tuple(x) for x in out.select("doc_id", "n_chars", "edited_sha256", "near_edited", "near_next").collect()]
     assert sorted(found, key=repr) == sorted(expected, key=repr)
