@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -98,7 +98,35 @@ projection("string_split_join", "pages", {"page_id": "event.page_id", "parts": '
 projection("hash_sha256", "customer", {"c_custkey": "event.c_custkey", "h": "sha256(event.c_name)"}, "SELECT c_custkey, sha256(c_name) AS h FROM customer")
 
 
-@query()
+# Hashes of strings in SQL: shifts that lose bits are products and quotients of wide integers. Characters are bytes here.
+_byte = lambda at: f"ord(substr(c_name, ({at})::BIGINT + 1, 1))::UBIGINT"
+_times = lambda x, y, bits: f"(({x})::UHUGEINT * {y}::UHUGEINT % {2**bits}::UHUGEINT)"
+_turned = lambda x, by, bits: f"({_times(x, 2**by, bits)} + ({x})::UHUGEINT // {2 ** (bits - by)}::UHUGEINT)::UBIGINT"
+_plus = lambda x, y, bits: f"((({x})::UHUGEINT + {y}::UHUGEINT) % {2**bits}::UHUGEINT)::UBIGINT"
+_number = lambda at, n: "(" + " + ".join(f"{_byte(f'{at} + {j}')}::UHUGEINT * {256**j}" for j in range(n)) + ")"
+
+#: The primes of XXH64.
+_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _xxhash_sql() -> str:
+    """XXH64 of names, which are shorter than its stripes of 32 bytes."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    eight = _times(_turned(_times(_number("8 * i", 8), p2, 64), 31, 64), p1, 64)
+    four = _turned(f"xor(h, {_times(_number('n // 8 * 8', 4), p1, 64)}::UBIGINT)", 23, 64)
+    return f"""
+        WITH a AS (SELECT c_custkey, c_name, length(c_name) AS n FROM customer),
+        b AS (SELECT *, list_prepend({_plus("n", p5, 64)}, list_transform(range(n // 8), lambda i: {eight}::UBIGINT)) AS parts FROM a),
+        c AS (SELECT *, list_reduce(parts, lambda h, k: {_plus(_times(_turned("xor(h, k)", 27, 64), p1, 64), p4, 64)}) AS h FROM b),
+        d AS (SELECT * REPLACE (CASE WHEN n % 8 >= 4 THEN {_plus(_times(four, p2, 64), p3, 64)} ELSE h END AS h) FROM c),
+        e AS (SELECT c_custkey, list_reduce(list_prepend(h, list_transform(range(n // 4 * 4, n), lambda i: {_times(_byte("i"), p5, 64)}::UBIGINT)), lambda h, k: {_times(_turned("xor(h, k)", 11, 64), p1, 64)}::UBIGINT) AS h FROM d),
+        f AS (SELECT c_custkey, {_times(f"xor(h, h // {2**33})", p2, 64)}::UBIGINT AS h FROM e),
+        g AS (SELECT c_custkey, {_times(f"xor(h, h // {2**29})", p3, 64)}::UBIGINT AS h FROM f)
+        SELECT c_custkey, lower(hex(xor(h, h // {2**32}))) AS h FROM g
+    """
+
+
+@query(_xxhash_sql())
 def hash_xxhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _table(spark, sf_dir, "customer")
     return pipeline_over(df, {"c_custkey": "event.c_custkey", "h": "xxhash(event.c_name)"}).ok_rows(df)
@@ -146,13 +174,13 @@ def null_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline_over(df, columns).ok_rows(df)
 
 
-@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, event_id % 4 = 0 AS bad FROM events")
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, CASE WHEN event_id % 4 <> 0 THEN json_extract(props, '$.k')::BIGINT END AS read, event_id % 4 = 0 AS bad FROM events")
 def json_decode_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = map_json({"type": "object", "title": "Props", "properties": {"k": {"type": "integer"}}, "required": ["k"]})
     broken = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("["), F.col("props"))).otherwise(F.col("props"))
     event, problem = json_event(broken, schema)
     good, _ = json_event(F.col("props"), schema)
-    return _table(spark, sf_dir, "events").select("event_id", good["k"].alias("k"), problem.isNotNull().alias("bad"))
+    return _table(spark, sf_dir, "events").select("event_id", good["k"].alias("k"), event["k"].alias("read"), problem.isNotNull().alias("bad"))
 
 
 def _time(name: str, path: str, value: str) -> None:
@@ -204,7 +232,20 @@ def part_bucket_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select("o_orderkey", partitioning.bucket(F.col("o_orderkey"), S.LongType(), 16).alias("bucket"))
 
 
-@query()
+def _murmur_sql() -> str:
+    mixed = lambda k: _times(_turned(_times(k, 3432918353, 32), 15, 32), 461845907, 32)
+    return f"""
+        WITH a AS (SELECT c_custkey, c_name, length(c_name) AS n FROM customer),
+        b AS (SELECT c_custkey, n, list_prepend(0::UBIGINT, list_transform(range(n // 4), lambda i: {mixed(_number("4 * i", 4))}::UBIGINT)) AS parts,
+                     coalesce(list_sum(list_transform(range(n % 4), lambda i: {_byte("n // 4 * 4 + i")} * (256 ** i)::UBIGINT)), 0)::UBIGINT AS rest FROM a),
+        c AS (SELECT c_custkey, xor(xor(list_reduce(parts, lambda h, k: {_plus(_times(_turned("xor(h, k)", 13, 32), 5, 32), 3864292196, 32)}), {mixed("rest")}::UBIGINT), n::UBIGINT) AS h FROM b),
+        d AS (SELECT c_custkey, {_times("xor(h, h // 65536)", 2246822507, 32)}::UBIGINT AS h FROM c),
+        e AS (SELECT c_custkey, {_times("xor(h, h // 8192)", 3266489909, 32)}::UBIGINT AS h FROM d)
+        SELECT c_custkey, (xor(h, h // 65536) & 2147483647) % 16 AS bucket FROM e
+    """
+
+
+@query(_murmur_sql())
 def part_bucket_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select("c_custkey", partitioning.bucket(F.col("c_name"), S.StringType(), 16).alias("bucket"))
 
@@ -215,18 +256,9 @@ def sort_within_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _table(spark, sf_dir, "orders")
     p = pipeline_over(df, {"o_orderkey": "event.o_orderkey", "o_orderdate": "event.o_orderdate", "price": "event.o_totalprice"}, partitions=[{"source_id": 2, "field_id": 1000, "transform": "month", "name": "month"}], sort=[{"source_id": 3, "direction": "desc", "null_order": "nulls-last"}, {"source_id": 1}])
     out, _ = sink.laid_out(p.ok_rows(df), p)
-    place = lambda batches: _numbered(batches)
-    return out.select("month", "o_orderkey").mapInPandas(place, "month string, o_orderkey long, place long")
-
-
-def _numbered(batches):
-    counts: dict = {}
-    for pdf in batches:
-        places = []
-        for m in pdf["month"]:
-            counts[m] = counts.get(m, 0) + 1
-            places.append(counts[m])
-        yield pdf.assign(place=places)
+    # Rows are numbered as they lie; a month in pieces, or in two tasks, would leave holes between its places.
+    at = F.monotonically_increasing_id()
+    return out.select("month", "o_orderkey", at.alias("at")).select("month", "o_orderkey", (F.col("at") - F.min("at").over(Window.partitionBy("month")) + 1).alias("place"))
 
 
 @query("SELECT event_id, strftime(make_timestamp(CASE WHEN event_id % 3 = 0 THEN s * 1000000 WHEN event_id % 3 = 1 THEN s * 1000000 ELSE s * 1000000 END), '%Y-%m-%d-%H') AS path FROM (SELECT event_id, epoch_us(ts) // 1000000 AS s FROM events)")
@@ -247,8 +279,6 @@ _SEGMENTS_SQL = """
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours are few, one row each; they are numbered in one task."""
-    from pyspark.sql.window import Window
-
     h = _table(spark, sf_dir, "events").groupBy((F.call_function("div", F.unix_micros(F.col("ts").cast("timestamp")), F.lit(3_600_000_000).cast("bigint"))).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("hour")
     s = h.select((F.row_number().over(w) - 1).cast("long").alias("segment_id"), "n", F.sum("n").over(w).alias("last_index"))
@@ -385,6 +415,19 @@ def sink_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.groupBy(F.regexp_extract("object_key", "year=([0-9]+)", 1).alias("year"), "schema_id").agg(F.sum("row_count").alias("n"))
 
 
+@query("SELECT * FROM (VALUES (1::BIGINT, 'o_orderkey', 'long'), (2, 'o_orderdate', 'timestamptz'), (3, 'price', 'decimal(12,2)')) AS t(id, name, type)")
+def sink_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of the schema that lies beside a written table."""
+    from .sources.shared import shared_folder
+
+    df = _table(spark, sf_dir, "orders")
+    p = pipeline_over(df, {"o_orderkey": "event.o_orderkey", "o_orderdate": "event.o_orderdate", "price": ("event.o_totalprice", "decimal(12,2)")})
+    folder = shared_folder(spark, "schema")
+    sink.write(p.ok_rows(df), p, folder)
+    text = spark.createDataFrame([(sink.table_schema(spark, folder),)], "text string")
+    return text.select(F.explode(F.from_json("text", "fields array<struct<id:long,name:string,type:string>>")["fields"]).alias("f")).select("f.*")
+
+
 @query("SELECT event_id, ((event_id * 2) % 5) AS n_frames FROM events")
 def batch_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames cut from a binary batch: each event's properties, framed some times over, and a broken end."""
@@ -398,28 +441,32 @@ def batch_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as log entries, with gaps."""
-    return _table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 97 != 5).select(F.col("o_orderkey").alias("index"), F.col("o_custkey").alias("term"))
+    """All orders as log entries, whose indices skip one after every 97 of them."""
+    k = F.col("o_orderkey")
+    return _table(spark, sf_dir, "orders").select((k + F.call_function("div", k, F.lit(97).cast("bigint"))).alias("index"), F.col("o_custkey").alias("term"))
 
 
 @query("""
-    WITH e AS (SELECT o_orderkey AS i FROM orders WHERE o_orderkey % 97 <> 5)
+    WITH e AS (SELECT o_orderkey + o_orderkey // 97 AS i FROM orders)
     SELECT i AS last_index, n AS next_index FROM (SELECT i, lead(i) OVER (ORDER BY i) AS n FROM e) WHERE n > i + 1
 """)
 def log_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_store.gaps(_entries(spark, sf_dir))
 
 
-@query("SELECT min(o_orderkey) AS first_index, max(o_orderkey) AS last_index FROM orders WHERE o_orderkey % 97 <> 5 AND o_orderkey <= 700")
+@query("SELECT min(i) AS first_index, max(i) AS last_index FROM (SELECT o_orderkey + o_orderkey // 97 AS i, max(o_orderkey) OVER () AS top FROM orders) WHERE i <= top // 2")
 def log_truncated_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_store.first_last(log_store.truncate_to(_entries(spark, sf_dir), 700))
+    """The ends of a log after its second half was cut off."""
+    top = _table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    return log_store.first_last(log_store.truncate_to(_entries(spark, sf_dir), top // 2))
 
 
-@query("SELECT o_orderkey AS index, CASE WHEN o_orderkey < 500 THEN 0 ELSE 1 END AS term FROM orders WHERE o_orderkey < 900")
+@query("SELECT o_orderkey AS index, CASE WHEN o_orderkey < top // 2 THEN 0 ELSE 1 END AS term FROM (SELECT o_orderkey, max(o_orderkey) OVER () AS top FROM orders) WHERE o_orderkey <= top - top // 4")
 def log_overlapping_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch from 500 on replaces the end of a log that reaches further."""
+    """A batch from the middle of a log of all orders on, up to three quarters, replaces its end, which reached further."""
     o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("index"))
-    held, batch = o.withColumn("term", F.lit(0)), o.where("index BETWEEN 500 AND 899").withColumn("term", F.lit(1))
+    top = o.agg(F.max("index")).first()[0]
+    held, batch = o.withColumn("term", F.lit(0)), o.where(F.col("index").between(top // 2, top - top // 4)).withColumn("term", F.lit(1))
     return log_store.merged(held, batch)
 
 

@@ -34,6 +34,30 @@ def write(rows: DataFrame, pipeline: Pipeline, folder: str, mode: str = "append"
     if names:
         writer = writer.partitionBy(*names)
     writer.parquet(folder)
+    path, files = _file(rows.sparkSession, folder)
+    stream = files.create(path, True)
+    stream.write(pipeline.iceberg_schema().encode())
+    stream.close()
+
+
+#: Holds the table's schema with its field ids as JSON; readers of the data pass over names that begin like this.
+SCHEMA_FILE = "_iceberg.schema"
+
+
+def _file(spark, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, SCHEMA_FILE)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def table_schema(spark, folder: str) -> str | None:
+    """The schema that was written with a table, or None where there is none."""
+    path, files = _file(spark, folder)
+    if not files.exists(path):
+        return None
+    stream = files.open(path)
+    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return text
 
 
 def with_paths(rows: DataFrame, pipeline: Pipeline) -> DataFrame:
@@ -44,11 +68,16 @@ def with_paths(rows: DataFrame, pipeline: Pipeline) -> DataFrame:
     return rows.withColumns({"_partition_path": partitioning.path(parts), "_partition": partitioning.tuple_of(parts)})
 
 
-def manifest(spark, folder: str, schema_id: int) -> DataFrame:
+def manifest(spark, folder: str, schema_id: int, checksums: bool = False) -> DataFrame:
     """One row for each file: schema_id, object_key, file_size and row_count, from the file listing and a count
-    that reads no column."""
+    that reads no column.  With ``checksums`` also each file's SHA-256, for which every file is read as a whole, one in a
+    task's memory at a time: ``write`` bounds their size by ``max_rows``."""
     read = spark.read.option("recursiveFileLookup", "true").parquet(folder)
-    return read.groupBy(F.col("_metadata.file_path").alias("object_key"), F.col("_metadata.file_size").alias("file_size")).agg(F.count(F.lit(1)).alias("row_count")).withColumn("schema_id", F.lit(schema_id).cast("long"))
+    files = read.groupBy(F.col("_metadata.file_path").alias("object_key"), F.col("_metadata.file_size").alias("file_size")).agg(F.count(F.lit(1)).alias("row_count")).withColumn("schema_id", F.lit(schema_id).cast("long"))
+    if not checksums:
+        return files
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+    return files.join(whole.select(F.col("_metadata.file_path").alias("object_key"), F.sha2("content", 256).alias("checksum")), "object_key", "left")
 
 
 def file_index(spark, folder: str) -> DataFrame:
