@@ -46,7 +46,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with five-word shingles of similarity 0.8 or more, the one of the smallest id stays."""
+    """Of each group of texts with five-word shingles of similarity 0.8 or more, the one of the smallest id stays.
+    Fingerprints are searched in BK-trees; what these find is checked by the sets of shingles."""
     tagged = _tagged(docs)
     found = simhash.similar(tagged.select("key", "text"), shingle=5, similarity=0.8, key="key")
     return _with_rows(tagged, found.select(*_identity("component_id")).distinct()).select("row.*")

@@ -240,6 +240,85 @@ def test_blocks_find_what_pairs_find(monkeypatch, spark):
         assert {i: found.get(i, i) for i in sets} == {i: top(i) for i in sets}
 
 
+def test_wide_fingerprints_lie_within_the_radius():
+    from fractions import Fraction
+
+    def mixed(h, i):
+        m = 2**64 - 1
+        z = (h + (i + 1) * 0x9E3779B97F4A7C15) & m
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & m
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & m
+        return z ^ z >> 31
+
+    def plain(values):
+        return [sum(1 << b for b in range(64) if 2 * sum(mixed(h, i) >> b & 1 for h in values) > len(values)) for i in range(simhash.WORDS)]
+
+    r = random.Random(48)
+    draw = lambda n: [r.getrandbits(64) for _ in range(n)]
+    array = lambda v: np.array(v, np.uint64)
+    for n in (0, 1, 2, 5, 37):
+        v = draw(n)
+        assert simhash.wide(array(v)).tolist() == plain(v)
+    radius, apart = simhash.radius_for(Fraction(4, 5), 1e-8), []
+    for common, x, y in ((4, 0, 1), (12, 1, 2), (16, 0, 4), (178, 22, 22), (800, 0, 200)):
+        for _ in range(60):
+            v, a, b = draw(common), draw(x), draw(y)
+            one, other, far = (simhash.wide(array(z)) for z in (v + a, v + b, draw(common)))
+            assert simhash.distances(one[None], other)[0] <= radius
+            apart.append(int(simhash.distances(one[None], far)[0]))
+    assert min(apart) > radius
+    # Where a bit differs is counted out: of 4 hashes and the same with one more, a tie of the 4 and the fifth.
+    assert simhash.differing(4, 0, 1) == 6 / 16 / 2 and simhash.differing(0, 1, 1) == 0.5
+
+
+def test_members_are_looked_up_in_a_tree_of_hubs(monkeypatch):
+    """All links of hubs are found, through trees only, and nothing beyond the radius is linked."""
+    from fractions import Fraction
+
+    searched = []
+
+    class Watched(simhash.Tree):
+        def search(self, queries, radius):
+            searched.append((len(self.members), len(queries), radius))
+            return super().search(queries, radius)
+
+    monkeypatch.setattr(simhash, "Tree", Watched)
+    r = random.Random(49)
+    sets = []
+    for _ in range(5):
+        base = [r.getrandbits(64) for _ in range(80)]
+        sets += [np.unique(np.array([x for x in base if r.random() < 0.93], np.uint64)) for _ in range(12)]
+    n = len(sets)
+    ids, hubs = np.arange(n), np.array([i % 3 == 0 for i in range(n)])
+    prints = np.stack([simhash.wide(x) for x in sets])
+    share = Fraction(4, 5)
+    root = list(range(n))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def close(i, j):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        return 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both)
+
+    def joined(links):
+        root[:] = range(n)
+        for a, b in links:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+        return [top(i) for i in range(n)]
+
+    expected = joined([(i, j) for i in range(n) for j in range(n) if hubs[j] and i != j and close(i, j)])
+    views = [x.view(np.int64) for x in sets]
+    radius = simhash.radius_for(share, 1e-8)
+    links = simhash.alike(ids, ids, hubs, prints, views, share, radius)
+    assert all(hubs[b] and close(a, b) for a, b in links) and len({*expected}) < n
+    assert joined(links) == expected and searched == [(int(hubs.sum()), n, radius)]
+    assert simhash.alike(ids, ids, hubs, prints, views, share, -1) == []
+
+
 @pytest.mark.parametrize("least", [1, 3, 1024])
 def test_hot_keys_are_split_and_every_row_has_its_next(spark, least):
     r = random.Random(77)

@@ -73,6 +73,21 @@ def test_unrelated_texts_of_one_id_stay(spark):
     assert sorted(((x.doc_id, x.text) for x in kept), key=repr) == sorted([(9, texts[0]), *((None, t) for t in texts[1:4]), *((7, t) for t in texts[4:])], key=repr)
 
 
+def test_near_copies_are_found_by_fingerprints_alone(monkeypatch, spark):
+    """With a radius that no fingerprint lies within, near copies stay; exact copies still go."""
+    from tidewright.llm import simhash
+
+    r, vocab = random.Random(23), vocabulary(6, 1500)
+    texts = [prose(r, 120, vocab) for _ in range(12)]
+    near = [" ".join([*t.split(" ")[:-1], "changed"]) for t in texts]
+    rows = [(i + n, t, "en", "a", 0) for n, of in ((0, texts), (100, near), (200, texts)) for i, t in enumerate(of)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    kept = lambda: sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert kept() == [*range(12)]
+    monkeypatch.setattr(simhash, "radius_for", lambda share, miss: -1, raising=False)
+    assert kept() == [*range(12), *range(100, 112)]
+
+
 def test_run(spark, corpus, tmp_path):
     corpus.write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))

@@ -17,6 +17,9 @@ joined by star contraction (see graphs.py), whose rounds are written to the chec
 Defined results: a null or a wordless text has the fingerprint zero and is linked like any other; a null key
 is the largest of all, so it is a component's id only if there is no other; repeated rows keep their rows; an
 empty table gives an empty result; other columns are not read.
+
+Texts that are similar beyond a few bits (``similar``) have longer fingerprints and a wide radius, so that no block of
+bits need be equal; their shards are bands of smallest hashes, and the sets are compared of what the trees find.
 """
 
 from __future__ import annotations
@@ -49,9 +52,9 @@ def hashes(text: bytes | None, shingle: int = 3) -> list[int]:
     return list(map(xxhash.xxh64_intdigest, map(b" ".join, runs), repeat(42)))
 
 
-def majority(values: list[int]) -> int:
+def majority(values: list[int] | np.ndarray) -> int:
     """The bits that more than half of the values have, as a signed 64-bit number."""
-    if not values:
+    if not len(values):
         return 0
     counts = np.zeros(BITS, np.int64)
     whole = np.array(values, "<u8").view(np.uint8).reshape(len(values), 8)
@@ -224,7 +227,47 @@ def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 3, key: str =
     return found.select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Similar texts, beyond a few bits: sets of shingles, met by their smallest hashes and compared exactly.
+# Similar texts, beyond a few bits: longer fingerprints in shards by smallest hashes, searched in trees; then sets of shingles.
+
+#: 64-bit words of a set's fingerprint.
+WORDS = 4
+
+
+def wide(values: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set of hashes: for each of its words the majority of the hashes as that word mixes them."""
+    z = values[:, None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return np.array([majority(z[:, i]) for i in range(WORDS)], np.int64).view(np.uint64)
+
+
+def differing(common: int, left: int, right: int) -> float:
+    """The probability that a bit differs between two sets which share so many hashes and have so many of their own."""
+    halves = lambda n: [math.comb(n, i) / 2**n for i in range(n + 1)]
+    total = common + left, common + right
+    p = 0.0
+    for k, weight in enumerate(halves(common)):
+        one, other = (sum(x for i, x in enumerate(halves(own)) if 2 * (k + i) > n) for own, n in zip((left, right), total, strict=True))
+        p += weight * (one * (1 - other) + other * (1 - one))
+    return p
+
+
+def radius_for(share: Fraction, miss: float) -> int:
+    """The radius beyond which the fingerprints of two sets whose Jaccard index is ``share`` or more lie with a probability of
+    ``miss`` at most, whatever their sizes.  The probability that a bit differs is largest in small sets, which are counted
+    out; towards large ones it falls to the angle between them."""
+    p = math.acos(2 * share / (1 + share)) / math.pi
+    for common in range(1, 33):
+        most = common * share.denominator // share.numerator - common
+        p = max([p, *(differing(common, x, y) for x in range(most + 1) for y in range(x, most + 1 - x))])
+    n, beyond = BITS * WORDS, 0.0
+    for radius in range(n, -1, -1):  # from the far end, whose probabilities are the smallest
+        beyond += math.comb(n, radius) * p**radius * (1 - p) ** (n - radius)
+        if beyond > miss:
+            return radius
+    return 0
+
 
 #: Orders in a band; all must have the same smallest hash for two texts to meet in it.
 ROWS = 5
@@ -254,9 +297,10 @@ def band_keys(values: np.ndarray, bands: int) -> np.ndarray:
 BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 
 
-def alike(ids: np.ndarray, roots: np.ndarray, hubs: np.ndarray, sets: list[np.ndarray], share: Fraction) -> list[tuple[int, int]]:
-    """Links of members with different roots of which one at least is a hub and whose sets have a Jaccard index of ``share`` or
-    more.  Pairs that links connect already are left out."""
+def alike(ids: np.ndarray, roots: np.ndarray, hubs: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], share: Fraction, radius: int) -> list[tuple[int, int]]:
+    """Links of members with different roots of which one at least is a hub, whose fingerprints lie within the radius and whose
+    sets have a Jaccard index of ``share`` or more.  All members are looked up in a tree of the hubs; only what it finds is
+    compared.  Pairs that links connect already are left out."""
     sizes, n = np.array([len(s) for s in sets]), len(ids)
     words, flat = np.unique(np.concatenate(sets), return_inverse=True)
     cuts = np.concatenate([[0], np.cumsum(sizes)])
@@ -265,17 +309,18 @@ def alike(ids: np.ndarray, roots: np.ndarray, hubs: np.ndarray, sets: list[np.nd
     mark, out = np.zeros(len(words), np.int64), []
     _, same = np.unique(ids, return_inverse=True)
     filled = np.minimum(cuts[:-1], max(0, len(flat) - 1))
-    for h in np.flatnonzero(hubs):
-        tip = tops(parent, top)
-        size = sizes[h]
-        able = (tip != tip[h]) & (same != same[h]) & (np.minimum(size, sizes) * share.denominator >= np.maximum(size, sizes) * share.numerator)
-        if not able.any():
+    at = np.flatnonzero(hubs)
+    for node, found in Tree(prints[at]).search(prints, radius):
+        h, tip = at[node], tops(parent, top)
+        size, others = sizes[h], sizes[found]
+        able = found[(tip[found] != tip[h]) & (same[found] != same[h]) & (np.minimum(size, others) * share.denominator >= np.maximum(size, others) * share.numerator)]
+        if not len(able):
             continue
         own = flat[cuts[h] : cuts[h + 1]]
         mark[own] = 1
         common = np.where(sizes > 0, np.add.reduceat(mark[flat], filled), 0) if len(flat) else np.zeros(n, np.int64)
         mark[own] = 0
-        near = np.flatnonzero(able & (common * share.denominator >= (size + sizes - common) * share.numerator))
+        near = able[common[able] * share.denominator >= (size + sizes[able] - common[able]) * share.numerator]
         for i in near.tolist():
             out.append((int(ids[i]), int(ids[h])))
         if len(near):
@@ -284,9 +329,21 @@ def alike(ids: np.ndarray, roots: np.ndarray, hubs: np.ndarray, sets: list[np.nd
     return out
 
 
-def compared(dealt: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """``dealt``: task, id, root, and whether it is a hub; ``sets``: id and shingles.  In each task its hubs are compared with
-    all of its members; the verified links a, b."""
+def printed_sets(sets: DataFrame) -> DataFrame:
+    """``sets``: id and shingles.  Adds words, the fingerprint of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [wide(s.view(np.uint64)).view(np.int64) for s in _rows_of(batch.column(1))]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, WORDS * len(words) + 1, WORDS, dtype=np.int32)), pa.array(np.concatenate([*words, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(1)], names=["id", "words", "shingles"])
+
+    return sets.select("id", "shingles").mapInArrow(run, "id long, words array<long>, shingles array<long>")
+
+
+def compared(dealt: DataFrame, sets: DataFrame, share: Fraction, radius: int) -> DataFrame:
+    """``dealt``: task, id, root, and whether it is a hub; ``sets``: id, words and shingles.  In each task all of its members are
+    looked up in the tree of its hubs, and what lies within the radius is compared; the verified links a, b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def table(out: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -294,7 +351,8 @@ def compared(dealt: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
 
         def done(parts: list[pa.RecordBatch]) -> list[tuple[int, int]]:
             ids, roots, hubs = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in (1, 2, 3))
-            return alike(ids, roots, hubs, [s for p in parts for s in _rows_of(p.column(4))], share)
+            prints = np.concatenate([p.column(4).flatten().to_numpy() for p in parts]).view(np.uint64).reshape(-1, WORDS)
+            return alike(ids, roots, hubs, prints, [s for p in parts for s in _rows_of(p.column(5))], share, radius)
 
         task, parts, out = None, [], []
         for batch in batches:
@@ -313,7 +371,7 @@ def compared(dealt: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
             out += done(parts)
         yield table(out)
 
-    rows = dealt.join(sets, "id").select("task", "id", "root", "hub", "shingles")
+    rows = dealt.join(sets, "id").select("task", "id", "root", "hub", "words", "shingles")
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -335,10 +393,13 @@ def _largest(left: DataFrame) -> DataFrame:
     return by_root.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("few"), F.sum("words").alias("words"))
 
 
-def verified(members: DataFrame, sets: DataFrame, bands: DataFrame, share: Fraction, crowd: int = 4096, few: int = 3, rounds: int = 4) -> DataFrame:
-    """``members``: band, id, size and the band's number of members n, two or more; ``bands``: id and the array of its bands.
-    Verified links a, b that connect all ids that meet in a band and are alike.
+def verified(members: DataFrame, sets: DataFrame, bands: DataFrame, share: Fraction, crowd: int = 4096, few: int = 3, rounds: int = 4, miss: float = 1e-8) -> DataFrame:
+    """``members``: band, id, size and the band's number of members n, two or more; ``sets``: id and shingles; ``bands``: id and
+    the array of its bands.  Verified links a, b that connect all ids that meet in a band and are alike, but for a pair whose
+    fingerprints lie beyond the radius, with a probability of ``miss`` at most.
 
+    A band is a shard of fingerprints.  To compare is to search the fingerprints in a tree of those they are compared with,
+    and then, for those within the radius, to compare the sets.
     First each band's members are compared with one of them, the one that meets most others (the middle of a group):
     a row for each member.  In the bands that still hold more than one part, the members outside the largest part are
     compared with all, by blocks of members, in numbers that tasks have room for; there, only links become rows.  As
@@ -346,6 +407,7 @@ def verified(members: DataFrame, sets: DataFrame, bands: DataFrame, share: Fract
     compared with one of the largest part.  Bands with more than ``crowd`` members outside are dealt again by a second
     band that must be equal too.  A pair is left out only if links that hold connect it already, so that a
     rejected pair costs no other."""
+    sets, radius = settle(printed_sets(sets)), radius_for(share, miss)
     met = members.groupBy("id").agg(F.sum("n").alias("met"))
     members = settle(members.join(met, "id").select("band", "id", "size", "met"))
     links, left = None, members.withColumn("root", F.col("id"))
@@ -358,7 +420,7 @@ def verified(members: DataFrame, sets: DataFrame, bands: DataFrame, share: Fract
         pairs = pairs.groupBy("id", F.col("m.id").alias("hub_id")).agg(F.first("root").alias("root"), F.first("m.root").alias("hub_root"), F.max("parts").alias("parts"))
         pairs = settle(pairs.withColumn("task", F.xxhash64("hub_id", "parts", F.pmod(F.xxhash64("id"), F.col("parts")))))
         dealt = pairs.select("task", "id", "root", F.lit(False).alias("hub")).unionByName(pairs.select("task", F.col("hub_id").alias("id"), F.col("hub_root").alias("root"), F.lit(True).alias("hub")).distinct())
-        new = compared(dealt, sets, share)
+        new = compared(dealt, sets, share, radius)
         links = settle(new if links is None else links.unionByName(new))
         left = _apart(members, links)
         n, rows = left.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("few")).agg(F.sum("n"), F.sum(F.col("few") * F.ceil(F.col("n") / BLOCK) + F.col("n") * F.ceil(F.col("few") / BLOCK))).first()
@@ -385,7 +447,7 @@ def verified(members: DataFrame, sets: DataFrame, bands: DataFrame, share: Fract
     asked = placed.where("hub").select("band", "id", "root", "hub", part("few_parts").alias("x"), every("all_parts").alias("y"))
     rest = placed.select("band", "id", "root", F.lit(False).alias("hub"), every("few_parts").alias("x"), part("all_parts").alias("y"))
     dealt = asked.unionByName(rest).select(task, "id", "root", "hub")
-    return settle(links.unionByName(compared(dealt, sets, share)))
+    return settle(links.unionByName(compared(dealt, sets, share, radius)))
 
 
 def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8, miss: float = 1e-6, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -393,11 +455,13 @@ def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8, miss: floa
     where keys are null or shared by unrelated texts), linking texts whose sets of shingles have at least this
     Jaccard index.
 
-    Texts with the same set are one class.  Classes meet in bands (the same smallest hashes in ``ROWS`` orders);
-    the number of bands comes from the similarity alone, so a pair is found with a probability of 1 - ``miss`` or
-    more whatever the size of the table.  Pairs that meet are compared by their sets before they are linked."""
+    Texts with the same set are one class, whose fingerprint goes to a shard for each band (the same smallest hashes in
+    ``ROWS`` orders).  Trees of fingerprints are searched there, and pairs within the radius are compared by their sets
+    before they are linked.  The number of bands and the radius come from the similarity alone, so a pair is found with a
+    probability of 1 - ``miss`` or more whatever the size of the table."""
     kind = df.schema[key].dataType.simpleString()
-    bands = bands_for(similarity, miss)
+    beyond = miss / 100  # the radius's part of what may be missed; the bands have the rest
+    bands = bands_for(similarity, miss - beyond)
     c = lambda name: F.col(f"`{name}`")
 
     def sets_of(column: pa.Array) -> list[np.ndarray]:
@@ -426,8 +490,8 @@ def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8, miss: floa
     met_ids = settle(members.join(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"))
     needed = met_ids.select("id").distinct().join(classes.select("id", "text_hash"), "id")
     texts = slim.select("text_hash", "text").join(needed, "text_hash").groupBy("id").agg(F.first("text").alias("text"))
-    sets = settle(texts.mapInArrow(shingles, "id long, shingles array<long>"))
-    roots = components(verified(met_ids, sets, classes.select("id", "bands"), Fraction(str(similarity))))
+    sets = texts.mapInArrow(shingles, "id long, shingles array<long>")
+    roots = components(verified(met_ids, sets, classes.select("id", "bands"), Fraction(str(similarity)), miss=beyond))
     placed = settle(classes.join(roots, F.col("id") == F.col("node"), "left").select("print", "least", F.coalesce("root", "id").alias("root")))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.hex(F.min("print")).alias("component"))
     named = settle(join_one(placed, ids, "root").select("print", "component_id", "component"))
