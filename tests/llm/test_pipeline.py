@@ -88,6 +88,40 @@ def test_near_copies_are_found_by_fingerprints_alone(monkeypatch, spark):
     assert kept() == [*range(12), *range(100, 112)]
 
 
+def test_workers_give_the_tokenizer_back(spark, corpus):
+    """Spark lends the workers of the packing to the next stage; they come without its tokenizer and what it remembers."""
+    import time
+
+    import pyarrow as pa
+    from tidewright.llm import packing
+
+    def held(batches):
+        n = sum(0 * b.num_rows for b in batches) + packing.tokenizer.cache_info().currsize
+        time.sleep(0.2)  # so that all idle workers get a task
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    assert corpus_pipeline.pack(spark, corpus.repartition(4), "").count() > 0
+    time.sleep(6)
+    assert [r.n for r in spark.range(0, 32, 1, 32).mapInArrow(held, "n long").collect()] == [0] * 32
+
+
+def test_what_a_task_borrowed_is_kept_until_the_process_rests():
+    import functools
+    import time
+
+    from tidewright.llm.common import borrowed
+
+    built = functools.lru_cache(lambda: [1])
+    for _ in range(3):
+        with borrowed(built, 0.3):
+            mine = built()
+            time.sleep(0.4)  # a task longer than the rest
+        time.sleep(0.05)
+    assert built.cache_info().misses == 1 and built.cache_info().currsize == 1
+    time.sleep(1)
+    assert built.cache_info().currsize == 0 and mine == [1]
+
+
 def test_run(spark, corpus, tmp_path):
     corpus.write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))

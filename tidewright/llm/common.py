@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
+import threading
 from bisect import bisect_right
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +49,43 @@ def join_one(many: DataFrame, one: DataFrame, key: str, hot: int = 512, least: i
     return many.join(F.broadcast(one.join(keys, key)), key).unionByName(many.join(keys, key, "left_anti").join(one, key))
 
 
+#: Seconds for which a worker without a task keeps what ``borrowed`` lent it.
+REST = 2.0
+_resting: dict[object, threading.Timer] = {}
+_turn = threading.Lock()
+
+
+@contextlib.contextmanager
+def borrowed(cached, rest: float = REST) -> Iterator[None]:
+    """Around a task's use of ``cached``, an lru_cache of what is dear to build: tasks that follow each other in a process share it.
+
+    Spark keeps a worker for as long as any Python runs, whatever its next task is.  One that hasn't come back to ``cached`` for
+    ``rest`` seconds forgets it, and gives the memory back.  A task that still uses an object keeps that object."""
+    with _turn:
+        if cached in _resting:
+            _resting.pop(cached).cancel()
+    try:
+        yield
+    finally:
+        timer = threading.Timer(rest, _forget, [cached])
+        timer.daemon = True
+        with _turn:
+            if cached in _resting:
+                _resting.pop(cached).cancel()
+            _resting[cached] = timer
+        timer.start()
+
+
+def _forget(cached) -> None:
+    with _turn:
+        if _resting.get(cached) is not threading.current_thread():
+            return  # a task came, or ended, in the meantime
+        del _resting[cached]
+        cached.cache_clear()
+    with contextlib.suppress(OSError, AttributeError):  # the C library has it, or there is nothing to do
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def words_column(text: Column) -> Column:
     """The words of a text as an array of strings; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

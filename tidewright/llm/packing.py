@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import borrowed
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -148,7 +150,7 @@ _TAIL = re.compile(r"[.,;:!?)\]]+\Z")
 
 @functools.lru_cache(maxsize=4)
 def tokenizer(path: str, separator: int = 0) -> ByteTokenizer:
-    """Built once in each process."""
+    """Built once in each process that packs, see ``borrowed``."""
     return ByteTokenizer(path, separator)
 
 
@@ -256,6 +258,10 @@ def pack(df: DataFrame, path: str, limits: Limits = Limits(), separator: int = 0
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with borrowed(tokenizer):
+            yield from packed(batches)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rows = tokenizer(path, separator), []
         where = TaskContext.get()
         loss = lambda start, length: length - (start == 0)
